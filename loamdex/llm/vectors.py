@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from loamdex.session import Scratch
 
 MODEL = "quillcode-embed-2"
+#: Rows of the sample that the codebooks are fitted on, at most.
+BOOK_ROWS = 8_000
 #: Content hashes of one vector that a result can need: five neighbours beside the hash itself.
 FIRST = 6
 
@@ -79,7 +81,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """What is fitted: centroids (lists, dim) and books (dim/4, 16, 4); a few hundred KB, sent to every task."""
+    """What is fitted: centroids (lists, dim) and books (dim/2, 16, 2); a few hundred KB, sent to every task."""
 
     centroids: np.ndarray
     books: np.ndarray
@@ -121,7 +123,7 @@ def _codes(res: np.ndarray, unit: np.ndarray, books: np.ndarray, eta: float, swe
     return codes
 
 
-def fit(sample: np.ndarray, n_lists: int, threshold: float, seed: int = 7, rounds: int = 6, width: int = 4) -> Index:
+def fit(sample: np.ndarray, n_lists: int, threshold: float, seed: int = 7, rounds: int = 6, width: int = 2) -> Index:
     """Fit centroids and anisotropic codebooks. eta follows from the similarity from which scores matter."""
     rng = np.random.default_rng(seed)
     x = _unit(sample)
@@ -139,10 +141,12 @@ def fit(sample: np.ndarray, n_lists: int, threshold: float, seed: int = 7, round
         raise ValueError(f"dimension must be a multiple of {width}")
     eta = (dim - 1) * threshold**2 / (1 - threshold**2)
     at = np.concatenate([(x[i : i + 4096] @ cent.T).argmax(axis=1) for i in range(0, n, 4096)])
-    res, m = x - cent[at], dim // width
+    some = rng.permutation(n)[:BOOK_ROWS]
+    x, at = x[some], at[some]
+    n, res, m = len(x), x - cent[at], dim // width
     r3, x3 = res.reshape(n, m, width), x.reshape(n, m, width)
     books = r3[rng.choice(n, 16, replace=n < 16)].transpose(1, 0, 2).copy()
-    for turn in range(8):
+    for turn in range(6):
         codes = _codes(res, x, books, eta, 1 if turn < 4 else 2)
         left = r3 - books[np.arange(m)[None], codes]
         par = np.einsum("nmw,nmw->nm", left, x3)
@@ -158,7 +162,7 @@ def fit(sample: np.ndarray, n_lists: int, threshold: float, seed: int = 7, round
     return Index(cent.astype(np.float32), books.astype(np.float32), float(eta))
 
 
-def build(vecs: DataFrame, n: int, threshold: float, sample: int = 40_000, per_list: int = 400) -> Index:
+def build(vecs: DataFrame, n: int, threshold: float, sample: int = 40_000, per_list: int = 80) -> Index:
     """Fit an :class:`Index` on at most ``sample`` rows, chosen by the hash of rep, so the choice is repeatable."""
     share = min(1.0, sample / max(n, 1))
     some = vecs.filter(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("embedding").limit(sample)
@@ -243,25 +247,25 @@ def search(
         xf = xe.astype(np.float32)
         xn = np.linalg.norm(xe.astype(np.float64), axis=1)
         qn = np.linalg.norm(qe.astype(np.float64), axis=1)
-        wide, out = min(4 * k + 8, len(xv)), []
+        out = []
         for i in range(0, len(qv), 512):
             q = qe[i : i + 512].astype(np.float32)
             s = (q / qn[i : i + 512, None].astype(np.float32)) @ approx
-            s[qv[i : i + 512, None] == xv[None, :]] = -9
-            if has_label:
-                s[ql[i : i + 512, None] == xl[None, :]] = -9
             live = np.flatnonzero(s.max(axis=1) >= threshold - margin)
-            if not len(live):
+            cols = np.flatnonzero((s[live] >= threshold - margin).any(axis=0)) if len(live) else live
+            if not len(cols):
                 continue
-            s = s[live]
-            top = np.argpartition(-s, wide - 1, axis=1)[:, :wide] if wide < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-            ok = np.take_along_axis(s, top, axis=1) >= threshold - margin
-            r, c = np.nonzero(ok)
-            item, row = top[r, c], live[r] + i
-            dot = np.einsum("nd,nd->n", xf[item], qe[row].astype(np.float32))  # exact: sums of products of bytes stay below 2^24
-            cos = np.round(dot.astype(np.float64) / (xn[item] * qn[row]), 6)
-            good = cos >= threshold
-            a, b, cos = qv[row[good]], xv[item[good]], cos[good]
+            # Exact reranking: sums of products of bytes stay below 2^24, so float32 products are exact.
+            exact = (q[live] @ xf[cols].T).astype(np.float64) / (qn[i + live][:, None] * xn[cols][None, :])
+            exact = np.round(exact, 6)
+            exact[qv[i + live][:, None] == xv[cols][None, :]] = -9
+            if has_label:
+                exact[ql[i + live][:, None] == xl[cols][None, :]] = -9
+            least = np.full(len(live), threshold)
+            if len(cols) > k:
+                least = np.maximum(least, -np.partition(-exact, k - 1, axis=1)[:, k - 1])
+            r, c = np.nonzero(exact >= least[:, None])
+            a, b, cos = qv[i + live[r]], xv[cols[c]], exact[r, c]
             order = np.lexsort((b, -cos, a))
             a, b, cos = a[order], b[order], cos[order]
             rank = np.arange(len(a)) - np.searchsorted(a, a)
