@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.llm import clusters, mixing, pieces, vectors
+from loamdex.llm import clusters, leaks, mixing, pieces, spam, vectors
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -49,7 +49,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_members, p1_clusters, p5_found, p5_pieces, p6_found, p6_nearest, p9_mix, p9_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("share").alias("largest_share"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam(_t(spark, d, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_members, p1_clusters, p5_found, p5_pieces, p6_found, p6_nearest, p8_found, p8_items, p9_mix, p9_shares, p10_found)}
 
 _CURRENT = """
 WITH m AS (SELECT content_hash, arg_max(embedding, created_at) AS e FROM embedding_cache WHERE model_id = 'quillcode-embed-2' AND content_hash IS NOT NULL GROUP BY content_hash),
