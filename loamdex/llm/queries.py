@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.llm import clusters, leaks, mixing, pieces, provenance, spam, vectors
+from loamdex.llm import clusters, leaks, mixing, pieces, provenance, spam, syntax, vectors
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -33,6 +33,18 @@ def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(_t(spark, d, "embedding_cache"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.repairs(_t(spark, d, "chunks")).filter("cost > 0").select("repo", "file_path")
+
+
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.repairs(_t(spark, d, "chunks"))
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(syntax.repairs(_t(spark, d, "chunks")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return provenance.provenance(_t(spark, d, "chunks")).filter("why is not null").select("repo", "file_path")
 
@@ -70,7 +82,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam(_t(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_members, p1_clusters, p3_found, p3_files, p5_found, p5_pieces, p6_found, p6_nearest, p8_found, p8_items, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_members, p1_clusters, p2_found, p2_files, p2_rates, p3_found, p3_files, p5_found, p5_pieces, p6_found, p6_nearest, p8_found, p8_items, p9_mix, p9_shares, p10_found)}
 
 _CURRENT = """
 WITH m AS (SELECT content_hash, arg_max(embedding, created_at) AS e FROM embedding_cache WHERE model_id = 'quillcode-embed-2' AND content_hash IS NOT NULL GROUP BY content_hash),
