@@ -115,7 +115,7 @@ def graph(vecs: DataFrame, index: V.Index, scratch: Scratch, threshold: float, k
 
 
 def clusters(
-    cache: DataFrame, threshold: float = 0.70, k: int = 8, model: str = V.MODEL, vectors_per_task: int = VECTORS_PER_TASK
+    cache: DataFrame, threshold: float = 0.70, k: int = 8, model: str = V.MODEL, vectors_per_task: int = VECTORS_PER_TASK, dim: int = V.DIM
 ) -> DataFrame:
     """(content_hash, cluster_id, group_hash, membership): one row for every content hash that has a current
     vector with a neighbour above ``threshold`` (or an equal vector of another hash).
@@ -126,7 +126,7 @@ def clusters(
     belong to its cluster and weigh in its centroid. An empty cache gives an empty result."""
     spark = cache.sparkSession
     scratch = Scratch(spark)
-    vecs, members = V.distinct_vectors(V.current_vectors(cache, model), scratch)
+    vecs, members = V.distinct_vectors(V.current_vectors(cache, model, dim), scratch)
     n = vecs.count()
     if not n:
         return members.select("content_hash", F.col("rep").alias("cluster_id"), F.col("rep").alias("group_hash"), F.lit(1.0).alias("membership")).limit(0)
@@ -207,7 +207,7 @@ def _rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"c": pa.array(list(sums), pa.int64()), "s": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))})
 
 
-def describe(members: DataFrame, cache: DataFrame, typical: int = 5, model: str = V.MODEL) -> DataFrame:
+def describe(members: DataFrame, cache: DataFrame, typical: int = 5, model: str = V.MODEL, dim: int = V.DIM) -> DataFrame:
     """(cluster_id, size, typical, centroid): size and the ``typical`` hashes of highest membership, ties going
     to the smaller hash; clusters of one are left out."""
     w = Window.partitionBy("cluster_id").orderBy(F.desc("membership"), "content_hash")
@@ -215,7 +215,7 @@ def describe(members: DataFrame, cache: DataFrame, typical: int = 5, model: str
     top = members.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= typical)
     best = top.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("i", "content_hash"))).alias("t"))
     size = members.groupBy("cluster_id").agg(F.count("*").alias("size")).filter("size > 1")
-    cur = V.current_vectors(cache, model).join(members.select("content_hash", "cluster_id"), "content_hash")
+    cur = V.current_vectors(cache, model, dim).join(members.select("content_hash", "cluster_id"), "content_hash")
     ids = cur.select(F.xxhash64("cluster_id").alias("c"), "cluster_id", F.lit(1).cast("long").alias("n"), "embedding")
     cent = centroids(ids)
     return (

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from loamdex.llm import grammar as G
 from loamdex.session import Scratch
+from loamdex.sources.files import assemble
 
 CODE = ("py", "js", "ts", "go", "java", "c")
 #: Wordings of a tool's notice in English, German, French and Spanish.
@@ -39,18 +40,6 @@ _COMMENT = re.compile(r"^\s*(?:#(?!include)|//|/\*|\*|<!--)")
 RULE_TOKENS = 10
 
 
-def files(chunks: DataFrame, paths: Column | None = None) -> DataFrame:
-    """(repo, file_path, text): the content of a file's distinct chunks in order of start_byte.
-
-    Rows with a null repo, file_path, content or start_byte are left out. Redelivered rows count once. Only one
-    file's chunks ever meet in a group."""
-    rows = chunks.select("repo", "file_path", "start_byte", "content").dropna()
-    if paths is not None:
-        rows = rows.filter(paths)
-    one = rows.groupBy("repo", "file_path").agg(F.array_sort(F.collect_set(F.struct("start_byte", "content"))).alias("c"))
-    return one.select("repo", "file_path", F.array_join(F.transform("c", lambda x: x["content"]), "").alias("text"))
-
-
 def extension(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 
@@ -147,7 +136,7 @@ def provenance(chunks: DataFrame, shared: float = 0.6) -> DataFrame:
     parameter are copies unless they bear their own organisation's copyright. Copies within a repository don't
     count. Empty files and files of other extensions are hand-written or left out; an empty table gives none."""
     scratch = Scratch(chunks.sparkSession)
-    text = files(chunks, extension("file_path").isin(*CODE))
+    text = assemble(chunks, extension("file_path").isin(*CODE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = G.Symbols()

@@ -24,21 +24,24 @@ from pyspark.sql import functions as F
 from loamdex.session import Scratch
 
 MODEL = "quillcode-embed-2"
+DIM = 128
 #: Rows of the sample that the codebooks are fitted on, at most.
 BOOK_ROWS = 8_000
 #: Content hashes of one vector that a result can need: five neighbours beside the hash itself.
 FIRST = 6
 
 
-def current_vectors(cache: DataFrame, model: str = MODEL) -> DataFrame:
+def current_vectors(cache: DataFrame, model: str = MODEL, dim: int = DIM) -> DataFrame:
     """(content_hash, embedding): of each content_hash the embedding of ``model`` with the largest created_at.
 
-    A hash whose newest embedding is null, empty or all zero has no current vector. Null hashes are left out, a
+    A hash whose newest embedding is null, all zero, of another length than ``dim`` or with a null element has no
+    current vector. Null hashes are left out, a
     null created_at is the oldest, and rows of equal created_at give the larger array. Repeated rows count once."""
     rows = cache.filter((F.col("model_id") == model) & F.col("content_hash").isNotNull())
     newest = rows.groupBy("content_hash").agg(F.max(F.struct("created_at", "embedding")).alias("m"))
     e = F.col("m.embedding")
-    return newest.filter(e.isNotNull() & F.exists(e, lambda x: x != 0)).select("content_hash", e.alias("embedding"))
+    whole = (F.size(e) == dim) & F.forall(e, lambda x: x.isNotNull())
+    return newest.filter(e.isNotNull() & whole & F.exists(e, lambda x: x != 0)).select("content_hash", e.alias("embedding"))
 
 
 def distinct_vectors(current: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -280,7 +283,7 @@ def search(
     return found.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= k).drop("i")
 
 
-def nearest(cache: DataFrame, k: int = 5, threshold: float = 0.70, model: str = MODEL, **how: int) -> DataFrame:
+def nearest(cache: DataFrame, k: int = 5, threshold: float = 0.70, model: str = MODEL, dim: int = DIM, **how: int) -> DataFrame:
     """(content_hash, neighbour, cos): for every current vector the ``k`` most similar current vectors of other
     content hashes with a cosine of at least ``threshold``, ties going to the smaller hash.
 
@@ -289,7 +292,7 @@ def nearest(cache: DataFrame, k: int = 5, threshold: float = 0.70, model: str =
     if not 1 <= k < FIRST:
         raise ValueError(f"k must be from 1 to {FIRST - 1}")
     scratch = Scratch(cache.sparkSession)
-    vecs, members = distinct_vectors(current_vectors(cache, model), scratch)
+    vecs, members = distinct_vectors(current_vectors(cache, model, dim), scratch)
     n = vecs.count()
     if not n:
         return members.select("content_hash", F.col("rep").alias("neighbour"), F.lit(1.0).alias("cos")).limit(0)
