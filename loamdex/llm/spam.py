@@ -131,6 +131,7 @@ def features(text: str, often: int = 3, least: int = 2) -> tuple[int, int, int,
     clauses: list[tuple[int, int, int, int]] = []  # first and last position in seq, small words, kind
     sizes: list[int] = []
     code = link = 0
+    in_code = False
     for line in text.splitlines():
         if not line.strip():
             continue
@@ -143,7 +144,9 @@ def features(text: str, often: int = 3, least: int = 2) -> tuple[int, int, int,
 
         plain = _LINK.sub(mark, line) if "://" in line or "](" in line or "www." in line else line
         link += links
-        if not links and _CODE.search(line):
+        # A line of code makes the indented lines below it code as well.
+        in_code = not links and (_CODE.search(line) is not None or in_code and line[0] in " \t")
+        if in_code:
             code += sum(map(len, _WORD.findall(line)))
             continue
         for part in _CLAUSE.split(plain):
