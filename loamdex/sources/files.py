@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import fnmatch
+import hashlib
 import json
 import os
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,23 +51,42 @@ def ignored(path: str, rules: list[tuple[re.Pattern, bool]]) -> bool:
 
 
 def scan(spark: SparkSession, root: str, max_file_mb: float = MAX_FILE_MB) -> DataFrame:
-    """(path, text, length, blob_sha, language, category) of a tree: without ``.git``, what the root's .gitignore
-    names, files over the size limit and files with a NUL in their first 8,192 bytes."""
-    base = root.rstrip("/")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    path = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(os.path.abspath(base)) + "/", "")
-    rows = rows.filter(F.col("length") <= int(max_file_mb * 1024 * 1024)).withColumn("p", path).filter(~F.col("p").rlike(r"(?:^|/)\.git/"))
-    rows = rows.filter(~F.contains(F.substring("content", 1, 8192), F.lit(b"\x00")))
+    """(path, text, length, blob_sha, language, category) of a tree that all executors can read: without ``.git``,
+    what the root's .gitignore names, files over the size limit and files with a NUL in their first 8,192 bytes.
+
+    The built-in file sources hide names that start with a dot or an underscore, which a source tree needs, so the
+    names are listed here, as a file index would, and the files are read by the tasks. Undecodable bytes become
+    U+FFFD and line ends LF; the digest is that of the bytes."""
+    base = os.path.abspath(root)
+    rules: list[tuple[re.Pattern, bool]] = []
     at = os.path.join(base, ".gitignore")
     if os.path.exists(at):
         with open(at, encoding="utf-8", errors="replace") as f:
             rules = ignore_rules(f.read())
-        skip = F.udf(lambda p: ignored(p, rules), "boolean")
-        rows = rows.filter(~skip("p"))
-    decode = F.udf(lambda b: bytes(b).decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"), "string")
-    return rows.select(F.col("p").alias("path"), decode("content").alias("text"), "length", F.sha2("content", 256).alias("blob_sha")).withColumns(
-        {"language": T.language(F.col("path")), "category": T.category(F.col("path"))}
-    )
+    names = []
+    for here, dirs, found in os.walk(base):
+        dirs[:] = sorted(d for d in dirs if d != ".git")
+        names += [os.path.relpath(os.path.join(here, n), base).replace(os.sep, "/") for n in found]
+    names = sorted(n for n in names if not ignored(n, rules))
+    most = int(max_file_mb * 1024 * 1024)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for n in b["path"]:
+                full = os.path.join(base, n)
+                if not os.path.isfile(full) or os.path.getsize(full) > most:
+                    continue
+                with open(full, "rb") as f:
+                    raw = f.read()
+                if b"\0" not in raw[:8192]:
+                    rows.append((n, raw.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"), len(raw), hashlib.sha256(raw).hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "text", "length", "blob_sha"])
+
+    parts = max(spark.sparkContext.defaultParallelism, len(names) // 2_000)
+    listed = spark.createDataFrame([(n,) for n in names], "path string").repartition(parts)
+    rows = listed.mapInPandas(read, "path string, text string, length long, blob_sha string")
+    return rows.withColumns({"language": T.language(F.col("path")), "category": T.category(F.col("path"))})
 
 
 def assemble(chunks: DataFrame, keep: Column | None = None) -> DataFrame:
@@ -97,7 +118,3 @@ def eval_queries(paths: list[str]) -> list[dict]:
                     raise ValueError(f"{path}:{n}: needs a query and a list of expected_files")
                 out.append(row)
     return out
-
-
-def match_any(path: str, globs: list[str]) -> bool:
-    return any(fnmatch.fnmatch(path, g) for g in globs)
