@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamdex.session import spread
+
 BUDGET = 1500
 SCHEMA = (
     "path string, kind string, name string, ast_path string, start_line int, end_line int, start_byte long, end_byte long, content string, content_hash string, token_count int"
@@ -101,6 +103,6 @@ def chunk_files(files: DataFrame, path: str = "path", text: str = "text", budget
             yield pd.DataFrame(rows, columns=["path", "kind", "name", "ast_path", "start_line", "end_line", "start_byte", "end_byte", "content"])
 
     bare = "path string, kind string, name string, ast_path string, start_line int, end_line int, start_byte long, end_byte long, content string"
-    out = files.select(F.col(path).alias("p"), F.col(text).alias("t")).filter("t is not null").mapInPandas(run, bare)
+    out = spread(files.select(F.col(path).alias("p"), F.col(text).alias("t")).filter("t is not null")).mapInPandas(run, bare)
     count = F.size(F.filter(F.split("content", r"\s+"), lambda x: x != ""))
     return out.withColumn("content_hash", F.sha2("content", 256)).withColumn("token_count", count)

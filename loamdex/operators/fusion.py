@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.operators import lexical
+from loamdex.session import Scratch
 
 K = 60
 
@@ -62,6 +63,11 @@ def fast_lane(chunks: DataFrame, nodes: DataFrame, query: str, symbol: str, k: i
 def full_lane(primary: list[tuple[str, DataFrame]], context: list[tuple[str, DataFrame]], expand, ppr, k: int = 20) -> DataFrame:  # noqa: ANN001
     """Primary rankings at weight 1, context rankings at 0.3, and on the best ``k`` of the primary ones graph
     expansion and personalised PageRank, fused. ``expand`` and ``ppr`` map seeds (id) to rankings (id, rank)."""
+    spark = primary[0][1].sparkSession
+    scratch = Scratch(spark)
+    # Rankings are at most a lane long; written once, they aren't made again for seeds, expansion and fusion.
+    primary, context = ([(n, scratch.keep(df.coalesce(1))) for n, df in part] for part in (primary, context))
     seeds = rrf(primary).filter(F.col("rank") <= k).select("id")
+    seeds = scratch.keep(seeds.coalesce(1))
     more = [("graph", expand(seeds)), ("ppr", ppr(seeds))]
     return rrf([*primary, *context, *more], [1.0] * len(primary) + [0.3] * len(context) + [1.0] * 2)

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from loamdex.functions import text as T
+from loamdex.session import spread
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, id, tf, positions): the inverted index, made with one shuffle on (term, id)."""
-    each = docs.select(F.col(id_col).alias("id"), F.posexplode(T.tokens(text)).alias("pos", "term"))
+    each = spread(docs.select(id_col, text)).select(F.col(id_col).alias("id"), F.posexplode(T.tokens(text)).alias("pos", "term"))
     return each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
@@ -35,7 +36,7 @@ def bm25(docs: DataFrame, query: str, k: int = 50, id_col: str = "doc_id", text:
     One pass over the text makes lengths and term frequencies; only those numbers reach the second stage."""
     terms = phrases(query)
     toks = T.tokens(text)
-    base = docs.select(F.col(id_col).alias("id"), toks.alias("t"), (keep if keep is not None else F.lit(True)).alias("keep"))
+    base = spread(docs.select(F.col(id_col).alias("id"), F.col(text), (keep if keep is not None else F.lit(True)).alias("keep"))).select("id", toks.alias("t"), "keep")
     if stem:
         terms = [tuple(porter(w) for w in p) for p in terms]
         base = base.withColumn("t", stem_tokens("t"))
@@ -70,7 +71,7 @@ def top(scored: DataFrame, k: int, ascending: bool = False) -> DataFrame:
 
 def trigram_index(chunks: DataFrame, id_col: str = "id", text: str = "content") -> DataFrame:
     """(trigram, id, symbol, occurrences). Symbols are counted per chunk before their trigrams are made."""
-    per = chunks.select(F.col(id_col).alias("id"), F.explode(T.identifiers(text)).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
+    per = spread(chunks.select(F.col(id_col), text)).select(F.col(id_col).alias("id"), F.explode(T.identifiers(text)).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
     per = per.select("id", "n", F.explode(T.identifier_parts(F.col("token"))).alias("symbol")).groupBy("id", "symbol").agg(F.sum("n").alias("occurrences"))
     return per.select(F.explode(T.trigrams(F.col("symbol"))).alias("trigram"), "id", "symbol", "occurrences")
 

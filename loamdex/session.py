@@ -35,6 +35,17 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "12g
     return s
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if it comes in fewer.
+
+    A table in one small file is read by one task whatever is computed on it. Such a table is at most a few scan
+    partitions, so moving it is cheap; a table that fills the cluster is left as it is and nothing is moved."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 > n:
+        return df
+    return df.repartition(n)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for scratch tables: ``spark.checkpoint.dir`` of the session, a temporary one only in local mode."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
