@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamdex.session import spread
+
 SHINGLE = 5
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|.)", re.S)
 _WORDS = re.compile(r"[^\W_]+")
@@ -160,7 +162,7 @@ def leaks(
         part = sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").toArrow()
         held = Items(part.column(0).to_pylist(), item_words(part.column(1).to_pylist()), sketch)
         sent = spark.sparkContext.broadcast(held)
-        step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna().mapInArrow(_scan(sent, least_share, estimate), "doc_id long, item_id long, share double")
+        step = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna()).mapInArrow(_scan(sent, least_share, estimate), "doc_id long, item_id long, share double")
         out = step if out is None else out.unionByName(step)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, share double")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.session import Scratch
+from loamdex.session import Scratch, spread
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pre-tokenising pattern that belongs to the 50,257-entry byte-level vocabulary.
@@ -48,7 +48,7 @@ def with_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", path
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", out])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", text).mapInArrow(count, f"doc_id long, source string, {out} long")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", text)).mapInArrow(count, f"doc_id long, source string, {out} long")
 
 
 def temperature_weights(tokens: dict[str, float], entropy: float) -> tuple[dict[str, float], float]:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamdex.session import spread
+
 # Small words that clauses of English, German, French and Spanish are built with.
 _EN = """
     a an the this that these those my our your their its his her it we you they he she i me us them who whom whose which what whoever whatever
@@ -191,5 +193,5 @@ def spam(docs: DataFrame, limit: float = 0.5) -> DataFrame:
             got = [(i, score(t)[0]) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna().mapInArrow(run, "doc_id long, score double")
+    scored = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna()).mapInArrow(run, "doc_id long, score double")
     return scored.filter(F.col("score") > limit).groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("score"))
