@@ -8,9 +8,11 @@ absent (tests and single-machine runs) does the helper choose a folder itself.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,28 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "12g
     return s
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, so that tasks can import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="loamdex-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "loamdex_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for here, _, names in os.walk(home):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(here, n)
+                    z.write(full, os.path.join("loamdex", os.path.relpath(full, home)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as there are cores, if it comes in fewer.
 

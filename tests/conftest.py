@@ -5,11 +5,12 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from loamdex.session import local_session  # noqa: E402
+from loamdex.session import local_session, ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(4, 4, "4g")
+    ship(s)
     yield s
     s.stop()
