@@ -177,7 +177,7 @@ def build(vecs: DataFrame, n: int, threshold: float, sample: int = 40_000, per_l
 
 def search(
     vecs: DataFrame, index: Index, scratch: Scratch, k: int, threshold: float, labels: DataFrame | None = None, probe_cos: float = 0.4,
-    probe_least: int = 12, probe_most: int = 96, margin: float = 0.12, block: int = 4096, q_block: int = 16_384,
+    probe_least: int = 20, probe_most: int = 96, margin: float = 0.12, block: int = 4096, q_block: int = 16_384,
 ) -> DataFrame:
     """(a, b, cos): for every vid ``a`` its ``k`` most similar other vids with a cosine >= threshold, rounded to
     6 decimals, ties going to the smaller vid. With ``labels`` (vid, label), only b of another label than a.
