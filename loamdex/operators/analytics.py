@@ -67,3 +67,20 @@ def retrieval_metrics(expected: DataFrame, ranked: DataFrame) -> DataFrame:
         "query", F.round(F.when(none, 0.0).otherwise(F.coalesce(1.0 / first, F.lit(0.0))), 6).alias("mrr_at_10"), F.round(F.when(none, 1.0).otherwise(dcg / ideal), 6).alias("ndcg_at_10"),
         F.round(F.when(none, 1.0).otherwise(at5 / n), 6).alias("recall_at_5"), F.round(F.when(none, 1.0).otherwise(F.size(hits) / n), 6).alias("recall_at_10"),
     )
+
+
+def apply_labels(clusters: DataFrame, new: DataFrame) -> DataFrame:
+    """Clusters with the label and summary that ``new`` (id, label, summary) gives for their id; blank labels and ids
+    that don't exist change nothing, of repeated ids the largest label holds."""
+    ok = new.filter("id is not null and trim(label) <> ''").groupBy("id").agg(F.max(F.struct("label", "summary")).alias("_n"))
+    cols = [c for c in clusters.columns if c not in ("label", "summary")]
+    joined = clusters.join(ok, "id", "left")
+    return joined.select(*cols, F.coalesce("_n.label", "label").alias("label"), F.coalesce("_n.summary", "summary").alias("summary")).select(*clusters.columns)
+
+
+def architecture(counts_row: dict, top: list[tuple[str, float]], files: list[tuple[str, float]], langs: list[tuple[str, int]], concepts: list[tuple[str, int]]) -> str:
+    """A deterministic overview in Markdown of what the index holds, from a few rows per section."""
+    out = ["# Architecture", "", *(f"- {k}: {v}" for k, v in counts_row.items())]
+    for title, rows in (("Languages", langs), ("Pivotal files", files), ("Central symbols", top), ("Concepts", concepts)):
+        out += ["", f"## {title}", "", *(f"- {name} ({value:.6g})" for name, value in rows)]
+    return "\n".join(out) + "\n"

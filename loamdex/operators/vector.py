@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +60,21 @@ def centroids(vectors: DataFrame, group: str, emb: str = "embedding") -> DataFra
     each = vectors.select(group, F.posexplode(emb).alias("i", "v")).groupBy(group, "i").agg(F.avg(F.col("v").cast("double")).alias("m"), F.count("*").alias("n"))
     out = each.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"), F.max("n").alias("size"))
     return out.select(group, normalise(F.transform("c", lambda x: x["m"])).alias("centroid"), "size")
+
+
+def stub_embed(texts: DataFrame, key: str, text: str, dim: int = 1536) -> DataFrame:
+    """(key, embedding): repeatable unit vectors seeded by the text's digest, standing in for a model; each distinct
+    text of a batch is embedded once. A model is plugged in by another function of the same form."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made: dict[str, np.ndarray] = {}
+            for t in b[text]:
+                if t not in made:
+                    seed = int.from_bytes(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()[:8], "big")
+                    v = np.random.default_rng(seed).standard_normal(dim)
+                    made[t] = (v / np.linalg.norm(v)).astype(np.float32)
+            yield pd.DataFrame({key: b[key], "embedding": [made[t] for t in b[text]]})
+
+    kind = dict(texts.dtypes)[key]
+    return texts.select(key, text).dropna().mapInPandas(run, f"{key} {kind}, embedding array<float>")

@@ -394,3 +394,18 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
 def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "events").filter(F.contains("props", F.lit('"k"')))
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).filter("k between 40 and 60")
+
+
+@query()
+def stub_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return vector.stub_embed(_t(spark, d, "chunks").select("content_hash", "content").distinct(), "content_hash", "content", 64)
+
+
+@query(
+    """SELECT id, coalesce(n.label, c.label) AS label, c.size FROM (SELECT DISTINCT id, label, size FROM clusters) c
+LEFT JOIN (SELECT cluster_id AS id, 'members ' || count(DISTINCT chunk_id) AS label FROM chunk_clusters GROUP BY 1) n USING (id)"""
+)
+def apply_labels(spark: SparkSession, d: str) -> DataFrame:
+    m = _t(spark, d, "chunk_clusters").groupBy(F.col("cluster_id").alias("id")).agg(F.concat(F.lit("members "), F.countDistinct("chunk_id").cast("string")).alias("label"))
+    c = _t(spark, d, "clusters").select("id", "label", "size").distinct().withColumn("summary", F.lit(None).cast("string"))
+    return analytics.apply_labels(c, m.withColumn("summary", F.lit(None).cast("string"))).select("id", "label", "size")

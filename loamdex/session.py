@@ -65,6 +65,8 @@ def spread(df: DataFrame) -> DataFrame:
     A table in one small file is read by one task whatever is computed on it. Such a table is at most a few scan
     partitions, so moving it is cheap; a table that fills the cluster is left as it is and nothing is moved."""
     n = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df  # it ends in a shuffle's partitions, and asking for their number would run it
     if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 > n:
         return df
     return df.repartition(n)
