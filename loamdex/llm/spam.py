@@ -5,8 +5,8 @@ every position the longest run ending there that occurs at least ``often`` times
 covered by such maximal repeats are the page's repetition. The page is also split into clauses, and a clause
 needs the small words (articles, pronouns, prepositions, auxiliaries) that sentences of any of the languages
 have. A word is *said* if its clause has that structure and isn't mostly repeats; links and words of clauses
-without it are *listed*; lines of program code count as neither. A page is spam if most of its characters
-outside of code are listed or repeated.
+without it are *listed*; words of program code count as neither, and a line is code by two kinds of signs or
+more, never by one mark. A page is spam if most of its characters are listed, linked or repeated.
 """
 
 from __future__ import annotations
@@ -51,10 +51,38 @@ LINK_CHARS = 12
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\(\s*[^)\s]*\s*\)|<?(?:https?://|www\.)[^\s<>\"')\]]+>?", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|_+")
 _CLAUSE = re.compile(r"(?<=[.!?…])\s+|[;\n\r|]+|\s[-–—»•*]\s|:\s")
-_CODE = re.compile(
-    r"^\s*(?:[{}()\[\];,]+\s*$|//|/\*|\*/|#include|@\w+\s*(?:\(|$)|(?:export|import|from|package|return|const|let|var|def|class|func|function|if|else|for|while|try|static|public|private|async|raise|throw)\b.*[(){};=:\"']\s*\S*\s*$)"
-    r"|[{};]\s*$|\w\([^)]*\)\s*[;{:]?\s*$|^\s*[\w.\[\]]+\s*(?::=|[-+*/|&]?=)\s*\S|^\s*(?:else|try|finally)\s*:|=>|->|::|&&|\|\|"
-)
+_KEYWORD = r"\s*(?:export|import|from|package|return|const|let|var|def|class|func|function|if|else|elif|for|while|try|except|finally|static|public|private|async|raise|throw|void|int)\b"
+#: Kinds of signs of program code. Two kinds are needed, so no sign does alone. Those at the start of a line, and
+#: those anywhere, each with characters of which a line has one if it has the sign.
+_STARTS = tuple(map(re.compile, (_KEYWORD + r"|\s*#include|\s*@\w+\s*(?:\(|$)", r"\s*@\w+\s*$|\s*#include\s*[<\"]", r"\s*[\w.\[\]]+\s*(?::=|[-+*/|&]?=)\s*\S")))
+_ANYWHERE = tuple((c, re.compile(r)) for c, r in (
+    ("(", r"\w\("), ("(", r"\w\([^)]*\)\s*[;{:]?\s*$"), ("=", r"\s(?::|[-+*/|&!=<>])?=\s*\S"), ("{}[]", r"[{}\[\]]"), ("\"'", r"\"[^\"]*\"|'[^']*'"),
+))
+_NAME = re.compile(r"\w[._]\w|[a-z][A-Z]")
+#: Marks that also separate keywords: together they are one kind, and only beside another.
+_SEPARATOR = re.compile(r"=>|->|::|&&|\|\||[;,:]\s*$")
+_BARE = re.compile(r"^\s*[{}()\[\];,]+\s*$")
+#: A line with more words than this is code only with two kinds of signs and a sign for every DENSE words.
+SHORT, DENSE = 12, 4
+#: An indented line with a sign follows a line of code if that is at most so many lines above.
+FOLLOW = 3
+
+
+def signs(line: str) -> int:
+    """2 if ``line`` is code by its own signs, 1 if it is where code surrounds it, else 0."""
+    if _BARE.match(line):
+        return 2
+    found = [1 for s in _STARTS if s.match(line)]
+    found += [len(s.findall(line)) for chars, s in _ANYWHERE if any(c in line for c in chars)]
+    kinds = sum(map(bool, found))
+    words = len(_WORD.findall(line)) if len(line) > 2 * SHORT else 0
+    if words > SHORT and not kinds:
+        return 0
+    names = len(_NAME.findall(line))
+    kinds, apart = kinds + (names > 0), _SEPARATOR.search(line) is not None
+    if words > SHORT:
+        return 2 if kinds >= 2 and (sum(found) + names) * DENSE >= words else 0
+    return 2 if kinds + apart >= 2 and kinds else int(kinds + apart > 0)
 
 
 class Automaton:
@@ -133,7 +161,7 @@ def features(text: str, often: int = 3, least: int = 2) -> tuple[int, int, int,
     clauses: list[tuple[int, int, int, int]] = []  # first and last position in seq, small words, kind
     sizes: list[int] = []
     code = link = 0
-    in_code = False
+    since = FOLLOW  # lines since one that was code by its own signs
     for line in text.splitlines():
         if not line.strip():
             continue
@@ -146,10 +174,14 @@ def features(text: str, often: int = 3, least: int = 2) -> tuple[int, int, int,
 
         plain = _LINK.sub(mark, line) if "://" in line or "](" in line or "www." in line else line
         link += links
-        # A line of code makes the indented lines below it code as well.
-        in_code = not links and (_CODE.search(line) is not None or in_code and line[0] in " \t")
-        if in_code:
-            code += sum(map(len, _WORD.findall(line)))
+        sign = 0 if links else signs(line)
+        since = 0 if sign == 2 else FOLLOW if links or line[0] not in " \t" else since + 1
+        if sign == 2 or sign and since < FOLLOW:
+            # Repeats run through code as well; only what its words count as differs.
+            for w in _WORD.findall(line.lower()):
+                seq.append(vocab.setdefault(w, len(vocab)))
+                sizes.append(len(w))
+                code += len(w)
             continue
         for part in _CLAUSE.split(plain):
             ws = _WORD.findall(part.lower())

@@ -123,6 +123,14 @@ def test_spam_cases(spark):
     assert S.spam(d.limit(0)).count() == 0
 
 
+def test_stuffed_lines_with_code_marks_are_listed():
+    stuffed = "; ".join(f"shard-{a} bridge segment/{b} queue" for a in ("cheap", "tiny", "paged") for b in ("roster", "ledger", "bucket", "depot")) + "; "
+    for text in (stuffed, stuffed.replace(";", " ->"), stuffed.replace(";", " ::"), stuffed.replace("; ", ";\n  "), "run(x)\n" + stuffed.replace("; ", ";\n  ")):
+        assert S.score(text)[0] > 0.5, text
+    for text in ("def f(x):\n    total = x\n    return total\n", "int total = 0;\nfor (int i = 0; i < n; i++) {\n    total += a[i];\n}\n" * 5, "var a=b(1),c={d:e(a),f:g(h)};" * 30):
+        assert S.score(text)[0] == 0, text
+
+
 def test_mix_reaches_targets_and_caps(spark):
     rng = random.Random(4)
     docs = [(i, "word " * rng.randint(5, 60), "abc"[min(2, i % 7)], 0.0, 1, 0.0) for i in range(700)] + [(None, "x", "a", 0.0, 1, 0.0), (9001, None, "a", 0.0, 1, 0.0), (9002, "", "b", 0.0, 1, 0.0), (9003, "x", None, 0.0, 1, 0.0), (9004, "y", "zz", 0.0, 1, 0.0)]
