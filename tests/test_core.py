@@ -195,6 +195,24 @@ def test_symbols(spark):
     assert {(r.src_name, r.dst_name, r.kind) for r in e.collect()} >= {("p/m.py", "os", "imports"), ("p/m.py", "b", "imports"), ("p/m.py::K", "Base", "inherits"), ("p/m.py::K::m", "run", "calls"), ("p/m.py::K", "p/m.py::K::m", "contains")}
 
 
+def test_concepts_cluster_all_rows(spark):
+    # 5,700 rows, of which a cluster of 10 would have about 7 rows in a sample of 4,000.
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(5, 16))
+    x = np.concatenate([centre[i] + rng.normal(size=(m, 16)) * 0.05 for i, m in enumerate((2100, 2000, 1500, 10, 10))] + [rng.normal(size=(48, 16))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r["id"]: (r["cluster_id"], r["membership"]) for r in density.concepts(spark.createDataFrame(rows, "id long, e array<double>"), "id", "e").collect()}
+    for a, b in ((5600, 5610), (5610, 5620)):
+        inside = [got.get(i, (-1, 0))[0] for i in range(a, b)]
+        main = max(set(inside), key=inside.count)
+        assert main >= 0 and inside.count(main) > 0.7 * len(inside)
+        assert all(a <= i < b for i, (c, _) in got.items() if c == main and i < 5620)
+    assert sum(i >= 5620 for i in got) < 24  # noise stays noise
+    some = spark.createDataFrame([r for r in rows if r[0] % 9 == 0 or r[0] > 5600], "id long, e array<double>")
+    one = {tuple(r) for r in density.concepts(some, "id", "e").collect()}
+    assert one and {tuple(r) for r in density.concepts(some, "id", "e", block=100).collect()} == one
+
+
 def test_density_finds_blobs():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(60, 4)) * 0.1 + c for c in (0, 3, 6)] + [rng.uniform(-9, 15, size=(6, 4))])
