@@ -1,8 +1,7 @@
 """Clusters of mutually similar records: reciprocal-nearest-neighbour average linkage on a sparse graph.
 
-The graph holds each vector's nearest neighbours above the similarity threshold, and is completed until no
-vector has a neighbour above it in another component (each round looks only for links that leave a
-component). Average linkage never joins what the graph doesn't connect, so components are clustered apart:
+The graph holds each vector's nearest neighbours above the similarity threshold, and is completed by an exact pass
+over all links above it that leave a component, so no vector has a neighbour above it in another one. Average linkage never joins what the graph doesn't connect, so components are clustered apart:
 all that fit a task together in vectorised rounds, the larger ones in distributed rounds. Every round merges
 all mutual best pairs at once; the average similarity of two clusters is exact, being the product of their
 vector sums over the product of their sizes.
@@ -102,16 +101,15 @@ def _distributed(nodes: DataFrame, links: DataFrame, threshold: float, scratch:
 
 
 def graph(vecs: DataFrame, index: V.Index, scratch: Scratch, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of vids and components (vid, component), complete in the sense that a last search for
-    links that leave a component found none."""
+    """Links (a, b) of vids and components: all that vectors with a cosine >= threshold join directly or through others.
+
+    The nearest neighbours come from the approximate search, and one exact pass adds the best link of every two of its
+    components that any two vectors over the threshold join, and of every vector that has one."""
     links = scratch.keep(V.search(vecs, index, scratch, k, threshold).select("a", "b"))
-    while True:
-        comp = scratch.keep(components(links).select(F.col("id").alias("vid"), "component"))
-        label = scratch.keep(vecs.select("vid").join(comp, "vid", "left").select("vid", F.coalesce("component", "vid").alias("label")))
-        more = scratch.keep(V.search(vecs, index, scratch, 1, threshold, label).select("a", "b"))
-        if not more.limit(1).count():
-            return links, comp
-        links = scratch.keep(links.unionByName(more))
+    comp = components(links).select(F.col("id").alias("vid"), "component")
+    label = scratch.keep(vecs.select("vid").join(comp, "vid", "left").select("vid", F.coalesce("component", "vid").alias("label")))
+    links = scratch.keep(links.unionByName(V.crossing(vecs, label, index, scratch, threshold)))
+    return links, scratch.keep(components(links).select(F.col("id").alias("vid"), "component"))
 
 
 def clusters(

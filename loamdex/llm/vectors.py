@@ -283,6 +283,113 @@ def search(
     return found.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= k).drop("i")
 
 
+def crossing(vecs: DataFrame, labels: DataFrame, index: Index, scratch: Scratch, threshold: float, block: int = 8192) -> DataFrame:
+    """(a, b) of vids with different labels (vid, label) and a cosine >= threshold, rounded to 6 decimals: for every
+    vid that has such pairs its best one, and for every two labels that have some the best one.
+
+    Exact: each two blocks of vectors are compared by their vectors, not by codes, and are left out only if no list
+    of one can hold a vector over the threshold from a list of the other (angle between the centroids less the
+    largest angles of the members), or if both lists are wholly of one label. Ties go to the smaller vids."""
+    spark = vecs.sparkSession
+    sent = spark.sparkContext.broadcast(index)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            e = _matrix(b.column("embedding"))
+            s = sent.value.lists(_unit(e))
+            at = s.argmax(axis=1)
+            emb = pa.array([r.tobytes() for r in e.astype(np.int8)], pa.binary())
+            cols = [b.column("vid"), b.column("label"), emb, pa.array(at.astype(np.int32)), pa.array(s[np.arange(len(s)), at].astype(np.float64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["vid", "label", "emb", "list", "near"])
+
+    placed = scratch.keep(vecs.select("vid", "embedding").join(labels, "vid").select("vid", "label", "embedding").mapInArrow(place, "vid long, label long, emb binary, list int, near double"))
+    # One row a list: bounded by the number of centroids.
+    held = placed.groupBy("list").agg(F.count("*").alias("n"), F.min("near").alias("near"), F.min("label").alias("l1"), F.max("label").alias("l2")).orderBy("list").collect()
+    at, size, l1, l2 = (np.array([r[c] for r in held]) for c in ("list", "n", "l1", "l2"))
+    cent = _unit(index.centroids[at]).astype(np.float64)
+    angle = lambda c: np.arccos(np.clip(c, -1, 1))
+    wide = angle(np.array([r["near"] for r in held])) + 1e-3
+    may = angle(cent @ cent.T) - wide[:, None] - wide[None] <= angle(threshold) + 1e-3
+    one = np.where(l1 == l2, l1, -1)
+    may &= ~((one[:, None] == one[None]) & (one >= 0)[:, None])
+    # Lists of one label side by side, then those near each other.
+    order = np.lexsort((cent @ np.linalg.svd(cent, full_matrices=False)[2][0], one))
+    blocks: list[list[int]] = []
+    first, cut, filled = np.zeros(len(at), int), np.ones(len(at), int), block
+    for i in order:
+        if filled + size[i] > block:
+            filled = 0
+            cut[i] = -(-size[i] // block)
+            first[i] = len(blocks)
+            blocks += [[i] for _ in range(cut[i])]
+        else:
+            first[i] = len(blocks) - 1
+            blocks[-1].append(i)
+        filled += size[i]
+    # One row for each two blocks.
+    pairs_ = [(i, j, 0) for i in range(len(blocks)) for j in range(i, len(blocks)) if may[np.ix_(blocks[i], blocks[j])].any()]
+    pairs_ = [(i, j, k) for k, (i, j, _) in enumerate(pairs_)]
+    where = F.broadcast(spark.createDataFrame([(int(a), int(f), int(c)) for a, f, c in zip(at, first, cut)], "list int, first long, cut long"))
+    meet = F.broadcast(spark.createDataFrame(pairs_, "i long, j long, pid long"))
+    rows = placed.join(where, "list").withColumn("blk", F.col("first") + F.pmod(F.xxhash64("vid"), F.col("cut"))).select("blk", "vid", "label", "emb")
+    left = rows.join(meet, F.col("blk") == F.col("i")).select("pid", F.col("vid").alias("x"), F.col("label").alias("xl"), F.col("emb").alias("xe"))
+    right = rows.join(meet, F.col("blk") == F.col("j")).select(F.col("pid").alias("qid"), F.col("vid").alias("q"), F.col("label").alias("ql"), F.col("emb").alias("qe"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("la", pa.int64()), ("lb", pa.int64()), ("cos", pa.float64())])
+
+    def best(a, b, la, lb, cos):  # noqa: ANN001, ANN202
+        """Of links in both directions those that are the best of their first end or of their two labels."""
+        order = np.lexsort((b, a, -cos))
+        _, x = np.unique(a[order], return_index=True)
+        _, y = np.unique(np.stack([la, lb], axis=1)[order], axis=0, return_index=True)
+        keep = order[np.union1d(x, y)]
+        return a[keep], b[keep], la[keep], lb[keep], cos[keep]
+
+    def scan(items: pa.Table, queries: pa.Table) -> pa.Table:
+        if not items.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        items, queries = items.sort_by("xl"), queries.sort_by("ql")
+        raw = lambda t, c: np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=np.int8).reshape(t.num_rows, -1)
+        x, q = raw(items, "xe").astype(np.float32), raw(queries, "qe").astype(np.float32)
+        xv, xl, qv, ql = items.column("x").to_numpy(), items.column("xl").to_numpy(), queries.column("q").to_numpy(), queries.column("ql").to_numpy()
+        xn, qn = np.linalg.norm(x.astype(np.float64), axis=1), np.linalg.norm(q.astype(np.float64), axis=1)
+        xu, qu = x / xn[:, None].astype(np.float32), q / qn[:, None].astype(np.float32)
+        out = []
+        for i in range(0, len(q), 512):
+            s = slice(i, i + 512)
+            l = ql[s]
+            lo, hi = (np.searchsorted(xl, l[0]), np.searchsorted(xl, l[0], "right")) if l[0] == l[-1] else (0, 0)
+            for r in (slice(0, lo), slice(hi, len(x))):  # all but the items of the queries' own label
+                if r.start >= r.stop:
+                    continue
+                near = qu[s] @ xu[r].T >= threshold - 1e-4
+                live = np.flatnonzero(near.any(axis=1))
+                if not len(live):
+                    continue
+                u, v = np.nonzero(near[live] & (l[live, None] != xl[None, r]))
+                u, v = live[u] + i, v + r.start
+                for k in range(0, len(u), 200_000):
+                    uu, vv = u[k : k + 200_000], v[k : k + 200_000]
+                    # Sums of products of bytes stay below 2^24, so float32 sums are exact.
+                    cos = np.round(np.einsum("nd,nd->n", q[uu], x[vv]).astype(np.float64) / (qn[uu] * xn[vv]), 6)
+                    ok = cos >= threshold
+                    uu, vv, cos = uu[ok], vv[ok], cos[ok]
+                    if len(uu):
+                        both = lambda p, o: np.concatenate([p, o])
+                        out.append(best(both(qv[uu], xv[vv]), both(xv[vv], qv[uu]), both(ql[uu], xl[vv]), both(xl[vv], ql[uu]), both(cos, cos)))
+                        if len(out) == 64:
+                            out = [best(*(np.concatenate(z) for z in zip(*out)))]
+        return pa.table(list(best(*(np.concatenate(z) for z in zip(*out)))), schema=schema) if out else schema.empty_table()
+
+    found = scratch.keep(left.groupBy("pid").cogroup(right.groupBy("qid")).applyInArrow(scan, "a long, b long, la long, lb long, cos double"))
+    pick = F.max(F.struct("cos", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("m")
+    tops = [found.groupBy(*by).agg(pick).select((-F.col("m.x")).alias("a"), (-F.col("m.y")).alias("b")) for by in (("a",), ("la", "lb"))]
+    out = scratch.keep(tops[0].unionByName(tops[1]).distinct())
+    scratch.drop(placed, found)
+    return out
+
+
 def nearest(cache: DataFrame, k: int = 5, threshold: float = 0.70, model: str = MODEL, dim: int = DIM, **how: int) -> DataFrame:
     """(content_hash, neighbour, cos): for every current vector the ``k`` most similar current vectors of other
     content hashes with a cosine of at least ``threshold``, ties going to the smaller hash.

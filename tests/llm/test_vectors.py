@@ -145,6 +145,35 @@ def test_groups_are_components(spark):
     assert members.filter("membership < 0 or membership > 1.000001").count() == 0
 
 
+def test_links_beyond_the_probed_lists_are_found(spark):
+    # Each of two vectors has 110 lists nearer to it than the other's, of which a query probes 96.
+    rng = np.random.default_rng(6)
+    a, c = np.eye(DIM)[:2]
+    b = 0.73 * a + np.sqrt(1 - 0.73**2) * c
+    cent = np.concatenate([V._unit(v + 0.25 * V._unit(rng.normal(size=(110, DIM)))) for v in (a, b)]).astype(np.float32)
+    x = [np.round(v * 120).astype(int).tolist() for v in (a, b)]
+    vecs = spark.createDataFrame([(0, x[0]), (1, x[1])], "vid long, embedding array<byte>")
+    index = V.fit(np.array(x * 20), 2, 0.7)
+    index = V.Index(cent, index.books, index.eta)
+    links, comp = C.graph(vecs, index, Scratch(spark), 0.7, 3)
+    assert {tuple(r) for r in comp.collect()} == {(0, 0), (1, 0)}
+    for threshold, want in ((0.7, {(0, 1), (1, 0)}), (0.75, set())):
+        label = spark.createDataFrame([(0, 0), (1, 1)], "vid long, label long")
+        assert {tuple(r) for r in V.crossing(vecs, label, index, Scratch(spark), threshold).collect()} == want
+
+
+def test_crossing_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    x = groups(rng, [50, 40, 30, 9, 1, 1], noise=0.8)
+    s, lab = np.round(cosines(x), 6) >= 0.7, rng.integers(0, 12, len(x))
+    vecs = spark.createDataFrame([(i, str(i), list(map(int, v))) for i, v in enumerate(x)], "vid long, rep string, embedding array<byte>")
+    label = spark.createDataFrame([(i, int(l)) for i, l in enumerate(lab)], "vid long, label long")
+    got = {b: {tuple(r) for r in V.crossing(vecs, label, V.build(vecs, len(x), 0.7, per_list=4), Scratch(spark), 0.7, block=b).collect()} for b in (8, 1000)}
+    pairs = {(i, j) for i, j in zip(*np.nonzero(s)) if lab[i] != lab[j]}
+    assert got[8] == got[1000] and got[8] <= pairs
+    assert {i for i, _ in got[8]} == {i for i, _ in pairs} and {(lab[i], lab[j]) for i, j in got[8]} == {(lab[i], lab[j]) for i, j in pairs}
+
+
 def test_scratch_is_dropped(spark):
     s = Scratch(spark)
     t = s.keep(spark.range(3))
