@@ -104,19 +104,25 @@ def plan(tokens: dict[str, int], target: dict[str, float], repeats: dict[str, in
     return at(lo), budget, lo
 
 
-def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 11, path: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 11, path: str = TOKENIZERS, entropy: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Two tables: (doc_id, source, n_tokens, uses) for documents used at least once, and per source of
     ``targets`` (source, target_share, max_repeats, n_docs, tokens, tokens_used, share, most_uses).
 
     Documents with a null doc_id, a null source or one without a target, or without tokens are not used. A
     source's budget is kept to within one document. Repeated rows of targets give the one with the largest
     share; an empty documents table gives shares of 0. ``targets`` is one row a source and is read to the
-    driver, with the token sums per source; nothing per document is."""
+    driver, with the token sums per source; nothing per document is.
+
+    With ``entropy``, the shares aimed at are those of :func:`temperature_weights` over the sources that have a target
+    over 0 and may be used, instead of the target shares; caps and budget hold as before."""
     scratch = Scratch(docs.sparkSession)
     goal = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] if r["max_repeats"] is not None else 1) for r in targets.orderBy("target_share").collect() if r["source"] is not None}
     counted = scratch.keep(with_tokens(docs.filter("doc_id is not null and source is not null"), path=path).filter("n_tokens > 0").filter(F.col("source").isin(list(goal)) if goal else F.lit(False)))
     sums = {r["source"]: (r["t"], r["n"]) for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}
-    weights, total, _ = plan({s: v[0] for s, v in sums.items()}, {s: g[0] for s, g in goal.items()}, {s: g[1] for s, g in goal.items()}, budget)
+    tokens, aim = {s: v[0] for s, v in sums.items()}, {s: g[0] for s, g in goal.items()}
+    if entropy is not None:
+        aim, _ = temperature_weights({s: t for s, t in tokens.items() if goal[s][0] > 0 and goal[s][1] > 0}, entropy)
+    weights, total, _ = plan(tokens, aim, {s: g[1] for s, g in goal.items()}, budget)
     rows = []
     for s, (t, n) in sums.items():
         b = weights.get(s, 0.0) * total

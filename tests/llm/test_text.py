@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -146,6 +147,14 @@ def test_mix_reaches_targets_and_caps(spark):
     assert empty[0].count() == 0 and all(r["share"] == 0 for r in empty[1].collect())
 
 
+def test_mix_reaches_an_entropy(spark):
+    docs = [(i, "word " * (5 + i % 50), "aaaaabbc"[i % 8], 0.0, 1, 0.0) for i in range(1600)]
+    t = spark.createDataFrame([("a", 0.2, 3), ("b", 0.3, 3), ("c", 0.5, 3)], "source string, target_share double, max_repeats int")
+    for want in (0.8, 1.05):
+        p = [r["share"] for r in M.mix(spark.createDataFrame(docs, DOC), t, entropy=want)[1].collect()]
+        assert abs(-sum(x * math.log(x) for x in p) - want) < 0.01 and abs(sum(p) - 1) < 1e-5
+
+
 def test_plan_and_temperature():
     tokens = {"a": 1000, "b": 100, "c": 10}
     w, x = M.temperature_weights(tokens, 1.0)
