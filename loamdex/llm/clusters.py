@@ -1,8 +1,9 @@
 """Clusters of mutually similar records: reciprocal-nearest-neighbour average linkage on a sparse graph.
 
-The graph holds each vector's nearest neighbours above the similarity threshold, and is completed by an exact pass
-over all links above it that leave a component, so no vector has a neighbour above it in another one. Average linkage never joins what the graph doesn't connect, so components are clustered apart:
-all that fit a task together in vectorised rounds, the larger ones in distributed rounds. Every round merges
+The graph holds each vector's nearest neighbours above the similarity threshold. The same pass of the vector index
+also says what all pairs above the threshold that it scored join, so components are whole though no task hands on
+more than a few links a vector. Average linkage never joins what the graph doesn't connect, so components are
+clustered apart: all that fit a task together in vectorised rounds, the larger ones in distributed rounds. Every round merges
 all mutual best pairs at once; the average similarity of two clusters is exact, being the product of their
 vector sums over the product of their sizes.
 """
@@ -72,11 +73,15 @@ def _average(sums: np.ndarray, size: np.ndarray, lo: np.ndarray, hi: np.ndarray)
 
 
 def _distributed(nodes: DataFrame, links: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """:func:`linkage` for components too large for a task. nodes: (vid, n, embedding); links: (a, b)."""
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v))
-    cur = scratch.keep(nodes.withColumn("len", norm).select(
-        F.col("vid").alias("c"), F.col("n").cast("double").alias("n"), F.transform("embedding", lambda v: v.cast("double") / F.col("len") * F.col("n")).alias("s")
-    ))
+    """:func:`linkage` for components too large for a task. nodes: (vid, n, vec); links: (a, b)."""
+
+    def sums(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            n = b.column("n").to_numpy().astype(np.float64)
+            x = V._unit(V._bytes(b.column("vec"))).astype(np.float64) * n[:, None]
+            yield pa.RecordBatch.from_arrays([b.column("vid"), pa.array(n), _lists(x)], names=["c", "n", "s"])
+
+    cur = scratch.keep(nodes.select("vid", "n", "vec").mapInArrow(sums, "c long, n double, s array<double>"))
     label = scratch.keep(nodes.select("vid", F.col("vid").alias("c")))
     edges = scratch.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     while True:
@@ -100,20 +105,20 @@ def _distributed(nodes: DataFrame, links: DataFrame, threshold: float, scratch:
         cur, edges, label = new, e2, l2
 
 
-def graph(vecs: DataFrame, index: V.Index, scratch: Scratch, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of vids and components: all that vectors with a cosine >= threshold join directly or through others.
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1] or 1, dtype=np.int32)), pa.array(x.ravel()))
+
 
-    The nearest neighbours come from the approximate search, and one exact pass adds the best link of every two of its
-    components that any two vectors over the threshold join, and of every vector that has one."""
-    links = scratch.keep(V.search(vecs, index, scratch, k, threshold).select("a", "b"))
-    comp = components(links).select(F.col("id").alias("vid"), "component")
-    label = scratch.keep(vecs.select("vid").join(comp, "vid", "left").select("vid", F.coalesce("component", "vid").alias("label")))
-    links = scratch.keep(links.unionByName(V.crossing(vecs, label, index, scratch, threshold)))
-    return links, scratch.keep(components(links).select(F.col("id").alias("vid"), "component"))
+def graph(vecs: DataFrame, index: V.Index, scratch: Scratch, threshold: float, k: int, **how: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of vids to their nearest neighbours, and components (vid, component): all that pairs with a
+    cosine >= threshold join directly or through others, as far as the index scores them; with ``exact=True`` all."""
+    found = scratch.keep(V.search(vecs, index, scratch, k, threshold, forest=True, **how))
+    comp = scratch.keep(components(found.select("a", "b")).select(F.col("id").alias("vid"), "component"))
+    return found.filter("cos is not null").select("a", "b"), comp
 
 
 def clusters(
-    cache: DataFrame, threshold: float = 0.70, k: int = 8, model: str = V.MODEL, vectors_per_task: int = VECTORS_PER_TASK, dim: int = V.DIM
+    cache: DataFrame, threshold: float = 0.70, k: int = 8, model: str = V.MODEL, vectors_per_task: int = VECTORS_PER_TASK, dim: int = V.DIM, **how: float
 ) -> DataFrame:
     """(content_hash, cluster_id, group_hash, membership): one row for every content hash that has a current
     vector with a neighbour above ``threshold`` (or an equal vector of another hash).
@@ -121,18 +126,19 @@ def clusters(
     cluster_id is the smallest content_hash of the cluster. membership is the cosine of the vector and the
     cluster's centroid, 0 if negative. group_hash is the smallest hash of the component of the graph the
     cluster lies in: what pairs above the threshold join directly or through others. Copies of a vector
-    belong to its cluster and weigh in its centroid. An empty cache gives an empty result."""
+    belong to its cluster and weigh in its centroid. ``how`` goes to the search; ``exact=True`` is without
+    approximation. An empty cache gives an empty result."""
     spark = cache.sparkSession
     scratch = Scratch(spark)
-    vecs, members = V.distinct_vectors(V.current_vectors(cache, model, dim), scratch)
+    vecs, members = V.distinct_vectors(cache, scratch, model, dim)
     n = vecs.count()
     if not n:
         return members.select("content_hash", F.col("rep").alias("cluster_id"), F.col("rep").alias("group_hash"), F.lit(1.0).alias("membership")).limit(0)
-    links, comp = graph(vecs, V.build(vecs, n, threshold), scratch, threshold, k)
+    links, comp = graph(vecs, V.build(vecs, n, threshold), scratch, threshold, k, **how)
     sizes = scratch.keep(comp.groupBy("component").count())
     big = sizes.filter(F.col("count") > vectors_per_task).select("component")
     buckets = max(spark.sparkContext.defaultParallelism, -(-n // vectors_per_task))
-    nodes = vecs.select("vid", "n", "embedding").join(comp, "vid")
+    nodes = vecs.select("vid", "n", "vec").join(comp, "vid")
     edges = links.join(comp, links.a == comp.vid).select("a", "b", "component")
     small = lambda d: d.join(F.broadcast(big), "component", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))  # noqa: E731 at most n / vectors_per_task rows
 
@@ -142,12 +148,12 @@ def clusters(
         vid = v.column("vid").to_numpy()
         order = np.argsort(vid)
         vid = vid[order]
-        x = V._unit(V._matrix(v.column("embedding")))[order]
+        x = V._unit(V._bytes(v.column("vec")))[order]
         at = lambda c: np.searchsorted(vid, e.column(c).to_numpy())
         lab = linkage(x, v.column("n").to_numpy()[order], at("a"), at("b"), threshold)
         return pa.table({"vid": vid, "c": vid[lab]})
 
-    done = small(nodes).select("bucket", "vid", "n", "embedding").groupBy("bucket").cogroup(
+    done = small(nodes).select("bucket", "vid", "n", "vec").groupBy("bucket").cogroup(
         small(edges).select(F.col("bucket").alias("eb"), "a", "b").groupBy("eb")
     ).applyInArrow(rounds, "vid long, c long")
     if big.limit(1).count():
@@ -159,11 +165,17 @@ def clusters(
     every = scratch.keep(label.join(comp, "vid").select("vid", "c", "component").unionByName(alone))
     names = vecs.select(F.col("vid").alias("c"), F.col("rep").alias("cluster_id"))
     groups = vecs.select(F.col("vid").alias("component"), F.col("rep").alias("group_hash"))
-    cent = centroids(every.select("vid", "c").join(vecs.select("vid", "n", "embedding"), "vid"))
-    scored = every.join(vecs.select("vid", "embedding"), "vid").join(cent, "c")
-    dot = F.aggregate(F.zip_with("embedding", "centroid", lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v))
-    scored = scored.withColumn("membership", F.round(F.greatest(F.lit(0.0), dot / norm), 6))
+    full = scratch.keep(every.join(vecs.select("vid", "n", "vec"), "vid"))
+    cent = centroids(full.select("c", "n", "vec"))
+
+    def member(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            if b.num_rows:
+                x, m = V._unit(V._bytes(b.column("vec"))).astype(np.float64), np.asarray(b.column("centroid").flatten()).reshape(b.num_rows, -1)
+                cos = np.round(np.maximum(0.0, np.einsum("nd,nd->n", x, m)), 6)
+                yield pa.RecordBatch.from_arrays([b.column("vid"), b.column("c"), b.column("component"), pa.array(cos)], names=["vid", "c", "component", "membership"])
+
+    scored = full.join(cent, "c").select("vid", "c", "component", "vec", "centroid").mapInArrow(member, "vid long, c long, component long, membership double")
     named = scratch.keep(scored.join(names, "c").join(groups, "component").select("vid", "cluster_id", "group_hash", "membership"))
     once = vecs.filter("n = 1").select("vid", F.col("rep").alias("content_hash")).join(named, "vid")
     salts = vecs.filter("n > 1").select("vid").join(named, "vid").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
@@ -173,7 +185,7 @@ def clusters(
 
 
 def centroids(rows: DataFrame) -> DataFrame:
-    """(c, centroid): unit mean of the unit vectors of rows (c, n, embedding), as array<float>. Sums are made per
+    """(c, centroid): unit mean of the unit vectors of rows (c, n, vec), as array<float>. Sums are made per
     task in numpy before the shuffle, so a cluster with a third of all rows sends one row a task."""
 
     def part(batches):  # noqa: ANN001, ANN202
@@ -181,7 +193,7 @@ def centroids(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = V._unit(V._matrix(b.column("embedding"))).astype(np.float64) * b.column("n").to_numpy()[:, None]
+            x = V._unit(V._bytes(b.column("vec"))).astype(np.float64) * b.column("n").to_numpy()[:, None]
             ids, at = np.unique(b.column("c").to_numpy(), return_inverse=True)
             s = np.zeros((len(ids), x.shape[1]))
             np.add.at(s, at, x)
@@ -194,11 +206,11 @@ def centroids(rows: DataFrame) -> DataFrame:
             yield _rows(sums)
 
     def finish(key, table):  # noqa: ANN001, ANN202
-        t = V._matrix(table.column("s")).sum(axis=0)
+        t = np.asarray(table.column("s").combine_chunks().flatten()).reshape(table.num_rows, -1).sum(axis=0)
         u = (t / max(np.linalg.norm(t), 1e-12)).astype(np.float32)
         return pa.table({"c": pa.array([key[0].as_py()], pa.int64()), "centroid": pa.array([u.tolist()], pa.list_(pa.float32()))})
 
-    return rows.select("c", "n", "embedding").mapInArrow(part, "c long, s array<double>").groupBy("c").applyInArrow(finish, "c long, centroid array<float>")
+    return rows.select("c", "n", "vec").mapInArrow(part, "c long, s array<double>").groupBy("c").applyInArrow(finish, "c long, centroid array<float>")
 
 
 def _rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -213,8 +225,8 @@ def describe(members: DataFrame, cache: DataFrame, typical: int = 5, model: str
     top = members.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= typical)
     best = top.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("i", "content_hash"))).alias("t"))
     size = members.groupBy("cluster_id").agg(F.count("*").alias("size")).filter("size > 1")
-    cur = V.current_vectors(cache, model, dim).join(members.select("content_hash", "cluster_id"), "content_hash")
-    ids = cur.select(F.xxhash64("cluster_id").alias("c"), "cluster_id", F.lit(1).cast("long").alias("n"), "embedding")
+    cur = V._newest(cache, model, dim).join(members.select("content_hash", "cluster_id"), "content_hash")
+    ids = cur.select(F.xxhash64("cluster_id").alias("c"), "cluster_id", F.lit(1).cast("long").alias("n"), "vec")
     cent = centroids(ids)
     return (
         size.join(best, "cluster_id").withColumn("c", F.xxhash64("cluster_id")).join(cent, "c")

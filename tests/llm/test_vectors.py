@@ -145,33 +145,63 @@ def test_groups_are_components(spark):
     assert members.filter("membership < 0 or membership > 1.000001").count() == 0
 
 
-def test_links_beyond_the_probed_lists_are_found(spark):
-    # Each of two vectors has 110 lists nearer to it than the other's, of which a query probes 96.
+def packed(x):
+    return [(np.array(v, dtype=np.int8).view(np.uint8) ^ 0x80).tobytes() for v in x]
+
+
+def test_no_limit_of_probed_lists(spark):
+    # Each of two vectors has 110 lists nearer to it than the other's.
     rng = np.random.default_rng(6)
     a, c = np.eye(DIM)[:2]
     b = 0.73 * a + np.sqrt(1 - 0.73**2) * c
     cent = np.concatenate([V._unit(v + 0.25 * V._unit(rng.normal(size=(110, DIM)))) for v in (a, b)]).astype(np.float32)
     x = [np.round(v * 120).astype(int).tolist() for v in (a, b)]
-    vecs = spark.createDataFrame([(0, x[0]), (1, x[1])], "vid long, embedding array<byte>")
+    vecs = spark.createDataFrame(list(enumerate(packed(x))), "vid long, vec binary")
     index = V.fit(np.array(x * 20), 2, 0.7)
-    index = V.Index(cent, index.books, index.eta)
-    links, comp = C.graph(vecs, index, Scratch(spark), 0.7, 3)
-    assert {tuple(r) for r in comp.collect()} == {(0, 0), (1, 0)}
-    for threshold, want in ((0.7, {(0, 1), (1, 0)}), (0.75, set())):
-        label = spark.createDataFrame([(0, 0), (1, 1)], "vid long, label long")
-        assert {tuple(r) for r in V.crossing(vecs, label, index, Scratch(spark), threshold).collect()} == want
+    for exact in (False, True):
+        for threshold, want in ((0.7, {(0, 0), (1, 0)}), (0.75, set())):
+            links, comp = C.graph(vecs, V.Index(cent, index.books, index.eta), Scratch(spark), threshold, 3, exact=exact)
+            assert {tuple(r) for r in comp.collect()} == want
+            assert links.count() == len(want)
 
 
-def test_crossing_equals_brute_force(spark):
+def test_exact_search_equals_brute_force_whatever_the_lists(spark):
+    # Lists that no vector is near to, one to a cell: only the exact setting has to find all.
     rng = np.random.default_rng(8)
     x = groups(rng, [50, 40, 30, 9, 1, 1], noise=0.8)
-    s, lab = np.round(cosines(x), 6) >= 0.7, rng.integers(0, 12, len(x))
-    vecs = spark.createDataFrame([(i, str(i), list(map(int, v))) for i, v in enumerate(x)], "vid long, rep string, embedding array<byte>")
-    label = spark.createDataFrame([(i, int(l)) for i, l in enumerate(lab)], "vid long, label long")
-    got = {b: {tuple(r) for r in V.crossing(vecs, label, V.build(vecs, len(x), 0.7, per_list=4), Scratch(spark), 0.7, block=b).collect()} for b in (8, 1000)}
-    pairs = {(i, j) for i, j in zip(*np.nonzero(s)) if lab[i] != lab[j]}
-    assert got[8] == got[1000] and got[8] <= pairs
-    assert {i for i, _ in got[8]} == {i for i, _ in pairs} and {(lab[i], lab[j]) for i, j in got[8]} == {(lab[i], lab[j]) for i, j in pairs}
+    s = cosines(x)
+    vecs = spark.createDataFrame(list(enumerate(packed(x))), "vid long, vec binary")
+    index = V.fit(np.array(x), 4, 0.7)
+    cent = V._unit(rng.normal(size=(40, DIM))).astype(np.float32)
+    want = {(i, j) for i in range(len(x)) for _, j in sorted((-s[i, j], j) for j in range(len(x)) if j != i and s[i, j] >= 0.7)[:4]}
+    comp = list(range(len(x)))
+    for _ in comp:
+        comp = [min(comp[j] for j in np.flatnonzero((s[i] >= 0.7) | (np.arange(len(x)) == i))) for i in range(len(x))]
+    for block in (8, 1000):
+        links, got = C.graph(vecs, V.Index(cent, index.books, index.eta, np.arange(40, dtype=np.int32)), Scratch(spark), 0.7, 4, exact=True, block=block, q_block=block)
+        assert {tuple(r) for r in links.collect()} == want
+        assert {tuple(r) for r in got.collect()} == {(i, c) for i, c in enumerate(comp) if comp.count(c) > 1}
+
+
+def test_components_are_whole_though_few_links_leave_a_task(spark):
+    rng = np.random.default_rng(9)
+    x = groups(rng, [400, 5], noise=0.3)
+    vecs = spark.createDataFrame(list(enumerate(packed(x))), "vid long, vec binary")
+    index = V.fit(np.array(x), 6, 0.7)
+    found = V.search(vecs, index, Scratch(spark), 1, 0.7, forest=True, block=64).collect()
+    assert len(found) < 12 * len(x)
+    links, comp = C.graph(vecs, index, Scratch(spark), 0.7, 1)
+    assert {r["component"] for r in comp.collect()} == {0, 400} and comp.count() == 405
+
+
+def test_cells_keep_their_weight():
+    rng = np.random.default_rng(10)
+    cent = V._unit(rng.normal(size=(200, DIM)))
+    w = rng.integers(1, 50, 200)
+    c = V.cells(cent, w, 300)
+    assert np.bincount(c, weights=w).max() <= 300 and set(c) == set(range(c.max() + 1))
+    assert len(set(V.cells(cent, np.zeros(200), 1))) == 1
+    assert len(set(V.cells(np.tile(cent[:1], (9, 1)), np.ones(9), 1))) == 9  # equal centroids
 
 
 def test_scratch_is_dropped(spark):
