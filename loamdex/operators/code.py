@@ -1,244 +1,255 @@
-"""Symbols and control and data flow of Python files, extracted per file in parallel."""
+"""Symbols and control and data flow of source files, extracted per file in parallel.
+
+Every language goes through one :class:`~loamdex.operators.outline.Outline`. Flow is made in two passes: a
+control-flow graph over the statements of a function, and definitions that run along its edges."""
 
 from __future__ import annotations
 
-import ast
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamdex.operators import outline as O
 from loamdex.session import spread
 
 # Weights of edge kinds.
 WEIGHTS = {"calls": 3.0, "imports": 1.5, "inherits": 3.0, "references": 2.0, "contains": 1.0, "controls": 0.5, "dataflow": 0.7, "guards": 0.3}
-NODE = ["kind", "name", "short_name", "file_path", "start_line", "end_line", "signature", "parent_name"]
+NODE = ["kind", "name", "short_name", "file_path", "start_line", "end_line", "start_byte", "end_byte", "signature", "parent_name"]
 EDGE = ["src_name", "dst_name", "kind", "weight", "metadata"]
-_DEF = (ast.FunctionDef, ast.AsyncFunctionDef)
-_SCOPE = (*_DEF, ast.Lambda, ast.ClassDef, ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
 
 
-def _callee(f: ast.expr) -> str | None:
-    return f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
+def _qualified(path: str, d: O.Def, around: tuple[O.Def, ...]) -> str:
+    return "::".join([path, *(a.name for a in around), d.name])
 
 
-def symbols(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
-    """Nodes and name edges of a Python file: a file node, definitions with qualified names, containment, calls,
-    imports and base classes. A file that doesn't parse has its file node only."""
-    nodes: list[tuple] = [("file", path, path, path, 1, text.count("\n") + 1, None, None)]
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return nodes, []
-    edges: dict[tuple[str, str, str], None] = {}
+def symbols(path: str, text: str) -> tuple[list[tuple], list[tuple], str | None]:
+    """Nodes and name edges of a file, and a warning: a file node, definitions with qualified names, containment,
+    base classes, calls, imports and references. What a file names goes to its own definition if it has exactly
+    one of that short name. A file without outline has its file node only."""
+    size = O.Offsets(text)
+    nodes: list[tuple] = [("file", path, path, path, 1, text.count("\n") + 1, 0, size(len(text)), None, None)]
+    got = O.outline(path, text)
+    if got is None:
+        return nodes, [], "does not parse" if O.language_of(path) else None
     lines = text.split("\n")
-
-    def visit(node: ast.AST, owner: str, qual: str, in_class: bool) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (*_DEF, ast.ClassDef)):
-                is_class = isinstance(child, ast.ClassDef)
-                name = f"{path}::{child.name}" if not qual else f"{qual}::{child.name}"
-                kind = "class" if is_class else "method" if in_class else "function"
-                nodes.append((kind, name, child.name, path, child.lineno, child.end_lineno, lines[child.lineno - 1].strip(), owner))
-                edges[owner, name, "contains"] = None
-                if is_class:
-                    for b in child.bases:
-                        if base := _callee(b):
-                            edges[name, base, "inherits"] = None
-                visit(child, name, name, is_class)
-                continue
-            if isinstance(child, ast.Call) and (callee := _callee(child.func)):
-                edges[owner, callee, "calls"] = None
-            elif isinstance(child, ast.Import):
-                for a in child.names:
-                    edges[owner, a.name.rsplit(".", 1)[-1], "imports"] = None
-            elif isinstance(child, ast.ImportFrom):
-                for a in child.names:
-                    edges[owner, a.name, "imports"] = None
-            elif isinstance(child, ast.Assign) and node is tree:
-                for t in child.targets:
-                    if isinstance(t, ast.Name):
-                        name = f"{path}::{t.id}"
-                        nodes.append(("variable", name, t.id, path, child.lineno, child.end_lineno, lines[child.lineno - 1].strip(), owner))
-                        edges[owner, name, "contains"] = None
-                        visit(child, name, qual, in_class)
-                        break
-                else:
-                    visit(child, owner, qual, in_class)
-                continue
-            visit(child, owner, qual, in_class)
-
-    visit(tree, path, "", False)
-    return nodes, [(*k, WEIGHTS[k[2]], None) for k in edges]
-
-
-def _names(root: ast.AST | None, ctx: type) -> dict[str, int]:
-    """Names used in ``ctx``, with the first line, without looking into nested scopes."""
-    out: dict[str, int] = {}
-    if root is None or isinstance(root, _SCOPE):
-        return out
-    todo = [root]
-    while todo:
-        n = todo.pop()
-        if n is not root and isinstance(n, _SCOPE):
+    edges: dict[tuple[str, str, str], None] = {}
+    ranges: list[tuple[int, int, str]] = []
+    local: dict[str, list[str]] = {}
+    for d, around in O.walk(got.defs):
+        owner = next((a for a in reversed(around) if a.kind != "variable"), None)
+        parent = _qualified(path, owner, around[: around.index(owner)]) if owner else path
+        name = _qualified(path, d, around)
+        nodes.append((d.kind, name, d.name, path, d.line, d.end_line, size(d.start), size(d.end), lines[d.line - 1].strip(), parent))
+        edges[parent, name, "contains"] = None
+        local.setdefault(d.name, []).append(name)
+        if d.kind != "variable":
+            ranges.append((d.start, d.end, name))
+            for b in d.bases:
+                edges[name, b, "inherits"] = None
+    # The innermost definition around a use is the last one opened before it that isn't closed yet.
+    ranges.sort(key=lambda r: (r[0], -r[1]))
+    stack: list[tuple[int, str]] = []
+    k = 0
+    for at, kind, name in sorted(got.uses):
+        while k < len(ranges) and ranges[k][0] <= at:
+            stack.append((ranges[k][1], ranges[k][2]))
+            k += 1
+        while stack and stack[-1][0] <= at:
+            stack.pop()
+        own = next((n for end, n in reversed(stack) if end > at), path)
+        edges[own, name, kind] = None
+    out: dict[tuple[str, str, str], None] = {}
+    for a, b, kind in edges:
+        same = local.get(b, ()) if kind != "contains" else ()
+        b = same[0] if len(set(same)) == 1 else b
+        if b and a != b:
+            out[a, b, kind] = None
+    return nodes, [(*k, WEIGHTS[k[2]], None) for k in out], None
+
+
+@dataclass
+class _Point:
+    """A place in a control-flow graph: entry, exit, a statement, or where a loop is left (which has no block)."""
+
+    block: str | None
+    stmt: O.Stmt | None = None
+    after: list[int] = field(default_factory=list)  # points that come before it
+    back: list[int] = field(default_factory=list)  # points from which a loop begins anew
+
+
+class Graph:
+    """Control-flow graph of one function, one block a statement. What follows a return, break or continue isn't in it."""
+
+    def __init__(self, name: str, body: list[O.Stmt]):
+        self.name, self.n = name, 0
+        self.points = [_Point(f"{name}#entry"), _Point(f"{name}#exit")]
+        done: list[int] = []
+        self.points[1].after = [*self._run(body, [0], None, done), *done]
+
+    def _run(self, body: list[O.Stmt], ends: list[int], loop: tuple[list[int], list[int]] | None, done: list[int]) -> list[int]:
+        """Lay ``body`` behind ``ends``; ``loop`` takes the points of break and continue, ``done`` those of return."""
+        for s in body:
+            if not ends:
+                return ends
+            self.n += 1
+            at = len(self.points)
+            self.points.append(_Point(f"{self.name}#block_{self.n}", s, ends))
+            ends = [at]
+            if s.kind == "return":
+                done.append(at)
+                ends = []
+            elif s.kind in ("break", "continue"):
+                if loop is not None:
+                    loop[s.kind == "continue"].append(at)
+                ends = []
+            elif s.kind == "if":
+                ends = [*self._run(s.body, [at], loop, done), *self._run(s.orelse, [at], loop, done)]
+            elif s.kind == "loop":
+                breaks: list[int] = []
+                again: list[int] = []
+                inner = self._run(s.body, [at], (breaks, again), done)
+                self.points[at].back = [*inner, *again]
+                left = len(self.points)
+                self.points.append(_Point(None, None, [at, *inner, *again]))
+                ends = [*self._run(s.orelse, [left], loop, done), *breaks]
+        return ends
+
+    def controls(self) -> Iterator[tuple[str, str]]:
+        for p in self.points:
+            if p.block is not None:
+                for q in (*p.after, *p.back):
+                    # Where a loop is left stands for the loop's own block.
+                    while self.points[q].block is None:
+                        q = self.points[q].after[0]
+                    yield self.points[q].block, p.block
+
+    def definitions(self, params: dict[str, int]) -> Iterator[tuple[str, str, str, int, int]]:
+        """(defining block, using block, name, line, line). Points stand in the order in which control reaches them but
+        for the ways back, which are not gone: a loop's own definitions don't reach uses before them in its body."""
+        leaving: list[dict[str, frozenset[tuple[str, int]]]] = []
+        for i, p in enumerate(self.points):
+            state: dict[str, frozenset[tuple[str, int]]] = {}
+            for q in p.after if i != 1 else ():
+                for v, at in leaving[q].items():
+                    state[v] = state[v] | at if v in state else at
+            if i == 0:
+                state = {v: frozenset({(p.block, line)}) for v, line in params.items()}
+            elif p.stmt is not None:
+                for v, line in p.stmt.loads.items():
+                    for block, at in state.get(v, ()):
+                        yield block, p.block, v, at, line
+                for v, line in p.stmt.stores.items():
+                    state[v] = frozenset({(p.block, line)})
+            leaving.append(state)
+
+
+def _tests(s: O.Stmt) -> Iterator[tuple[O.Stmt, str]]:
+    branch = "if"
+    while True:
+        yield s, branch
+        if len(s.orelse) != 1 or s.orelse[0].kind != "if":
+            return
+        s, branch = s.orelse[0], "elif"
+
+
+def guard(s: O.Stmt, language: str) -> dict:
+    """What is tested where control branches: the condition, and in Python those of the whole if-elif chain."""
+    if s.kind == "loop":
+        return {"predicate": s.test, "branch": "loop", "line": s.line}
+    if language != "python":
+        return {"predicate": s.test, "branch": "if", "line": s.line}
+    chain = [{"predicate": x.test, "branch": b, "line": x.line} for x, b in _tests(s)]
+    return {"predicate": s.test, "branch": "if", "predicates": chain}
+
+
+def flow(path: str, text: str) -> tuple[list[tuple], list[tuple], str | None]:
+    """Blocks and control, data-flow and guard edges of all functions of a file, and a warning."""
+    got = O.outline(path, text)
+    if got is None:
+        return [], [], "does not parse" if O.language_of(path) else None
+    nodes, edges, size = [], {}, O.Offsets(text)
+    functions = 0
+    for d, around in O.walk(got.defs):
+        if d.body is None:
             continue
-        if isinstance(n, ast.Name) and isinstance(n.ctx, ctx):
-            out.setdefault(n.id, n.lineno)
-        todo.extend(reversed(list(ast.iter_child_nodes(n))))
-    return out
-
-
-Defs = dict[str, frozenset[tuple[str, int]]]
+        functions += 1
+        name = _qualified(path, d, around)
+        g = Graph(name, d.body)
+        a, b = size(d.start), size(d.end)
+        nodes.append(("block", f"{name}#entry", "entry", path, d.line, d.line, a, b, f"entry {d.name}", name))
+        nodes.append(("block", f"{name}#exit", "exit", path, d.end_line, d.end_line, a, b, f"exit {d.name}", name))
+        for p in g.points:
+            if p.stmt is not None:
+                nodes.append(("block", p.block, p.block.rsplit("#", 1)[1], path, p.stmt.line, p.stmt.end_line, a, b, p.stmt.text, name))
+                if p.stmt.kind in ("if", "loop"):
+                    edges[p.block, p.block, "guards", json.dumps(guard(p.stmt, got.language), sort_keys=True)] = None
+        for x, y in g.controls():
+            edges[x, y, "controls", None] = None
+        for x, y, v, at, line in g.definitions(d.params):
+            edges[x, y, "dataflow", json.dumps({"variable": v, "var": v, "definition_line": at, "use_line": line}, sort_keys=True)] = None
+    return nodes, [(a, b, k, WEIGHTS[k], m) for a, b, k, m in edges], "functions without blocks" if functions and not nodes else None
+
+
+_ROW = (
+    "what string, kind string, name string, short_name string, file_path string, start_line int, end_line int, start_byte long, end_byte long, signature string, parent_name string, "
+    "e_src_name string, e_dst_name string, e_kind string, e_weight double, e_metadata string"
+)
+
+
+def tagged(files: DataFrame, what: str = "symbols", path: str = "path", text: str = "text") -> DataFrame:
+    """Rows of three kinds (node, edge, warning) of files (path, text), for ``symbols`` or ``flow``, or both as ``all``:
+    one parse a file. Files of other languages give a file node and no flow; a file that fails gives a warning."""
+    runs = {"symbols": [symbols], "flow": [flow], "all": [symbols, flow]}[what]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p, t in zip(b["p"], b["t"]):
+                t = t.replace("\r\n", "\n").replace("\r", "\n")
+                for fn in runs:
+                    try:
+                        ns, es, warn = fn(p, t)
+                    except Exception as e:  # noqa: BLE001 one file must not end the run
+                        ns, es, warn = [], [], f"{type(e).__name__}: {e}"
+                    rows += [("node", *n, *[None] * 5) for n in ns] + [("edge", e[2], *[None] * 9, e[0], e[1], e[2], e[3], e[4]) for e in es]
+                    if warn:
+                        rows.append(("warning", fn.__name__, None, None, p, None, None, None, None, warn, None, *[None] * 5))
+            df = pd.DataFrame(rows, columns=["what", *NODE, *(f"e_{c}" for c in EDGE)])
+            yield df.astype({"start_line": "Int32", "end_line": "Int32", "start_byte": "Int64", "end_byte": "Int64"})
 
-def _join(*many: Defs) -> Defs:
-    out: Defs = {}
-    for d in many:
-        for v, at in d.items():
-            out[v] = out.get(v, frozenset()) | at
-    return out
+    return spread(files.select(F.col(path).alias("p"), F.col(text).alias("t")).dropna()).mapInPandas(run, _ROW)
 
 
-class _Flow:
-    """Control and data flow of one function: one block a statement, entry and exit, one pass over loops, so that
-    what a loop defines doesn't reach uses earlier in its body."""
+def nodes_of(rows: DataFrame) -> DataFrame:
+    return rows.filter("what = 'node'").select(*NODE)
 
-    def __init__(self, path: str, text: str, fn: ast.FunctionDef | ast.AsyncFunctionDef, name: str):
-        self.path, self.text, self.name, self.n = path, text, name, 0
-        self.nodes: list[tuple] = []
-        self.edges: dict[tuple[str, str, str, str | None], None] = {}
-        self.entry, self.exit = f"{name}#entry", f"{name}#exit"
-        self._node(self.entry, "entry", fn.lineno, fn.lineno, f"entry {fn.name}")
-        self._node(self.exit, "exit", fn.end_lineno, fn.end_lineno, f"exit {fn.name}")
-        a = fn.args
-        params = [*a.posonlyargs, *a.args, *a.kwonlyargs, *([a.vararg] if a.vararg else []), *([a.kwarg] if a.kwarg else [])]
-        ends, _ = self.run(fn.body, [self.entry], {p.arg: frozenset({(self.entry, p.lineno)}) for p in params}, None)
-        for e in ends:
-            self._edge(e, self.exit, "controls")
 
-    def _node(self, name: str, short: str, a: int, b: int, sig: str) -> None:
-        self.nodes.append(("block", name, short, self.path, a, b, sig, self.name))
+def edges_of(rows: DataFrame) -> DataFrame:
+    return rows.filter("what = 'edge'").select(*[F.col(f"e_{c}").alias(c) for c in EDGE])
 
-    def _edge(self, a: str, b: str, kind: str, meta: dict | None = None) -> None:
-        self.edges[a, b, kind, json.dumps(meta, sort_keys=True) if meta else None] = None
 
-    def run(self, body: list[ast.stmt], ends: list[str], defs: Defs, loop: dict | None) -> tuple[list[str], Defs]:
-        for s in body:
-            if not ends:
-                break
-            self.n += 1
-            block = f"{self.name}#block_{self.n}"
-            self._node(block, f"block_{self.n}", s.lineno, s.end_lineno or s.lineno, ast.get_source_segment(self.text, s) or type(s).__name__)
-            for e in ends:
-                self._edge(e, block, "controls")
-            stores, loads = self._access(s)
-            for v, line in sorted(loads.items()):
-                for d, at in sorted(defs.get(v, ())):
-                    self._edge(d, block, "dataflow", {"variable": v, "var": v, "definition_line": at, "use_line": line})
-            defs = {**defs, **{v: frozenset({(block, at)}) for v, at in stores.items()}}
-            ends, defs = self.leave(s, block, defs, loop)
-        return ends, defs
-
-    def _access(self, s: ast.stmt) -> tuple[dict[str, int], dict[str, int]]:
-        if isinstance(s, (ast.If, ast.While)):
-            return {}, _names(s.test, ast.Load)
-        if isinstance(s, (ast.For, ast.AsyncFor)):
-            return _names(s.target, ast.Store), _names(s.iter, ast.Load)
-        if isinstance(s, ast.Return):
-            return {}, _names(s.value, ast.Load)
-        if isinstance(s, ast.AugAssign):
-            st = _names(s.target, ast.Store)
-            return st, {**st, **_names(s.value, ast.Load)}
-        return _names(s, ast.Store), _names(s, ast.Load)
-
-    def leave(self, s: ast.stmt, block: str, defs: Defs, loop: dict | None) -> tuple[list[str], Defs]:
-        if isinstance(s, ast.Return):
-            self._edge(block, self.exit, "controls")
-            return [], defs
-        if isinstance(s, (ast.Break, ast.Continue)):
-            if loop is not None:
-                loop["break" if isinstance(s, ast.Break) else "continue"].append((block, defs))
-            return [], defs
-        if isinstance(s, ast.If):
-            tests, cur, branch = [], s, "if"
-            while True:
-                tests.append({"predicate": ast.unparse(cur.test), "branch": branch, "line": cur.lineno})
-                if len(cur.orelse) != 1 or not isinstance(cur.orelse[0], ast.If):
-                    break
-                cur, branch = cur.orelse[0], "elif"
-            self._edge(block, block, "guards", {"predicate": tests[0]["predicate"], "branch": "if", "predicates": tests})
-            yes, d1 = self.run(s.body, [block], defs, loop)
-            no, d2 = self.run(s.orelse, [block], defs, loop) if s.orelse else ([block], defs)
-            return [*yes, *no], _join(d1 if yes else {}, d2 if no else {})
-        if isinstance(s, (ast.For, ast.AsyncFor, ast.While)):
-            test = s.test if isinstance(s, ast.While) else s.iter
-            self._edge(block, block, "guards", {"predicate": ast.unparse(test), "branch": "loop", "line": s.lineno})
-            own: dict = {"break": [], "continue": []}
-            ends, d1 = self.run(s.body, [block], defs, own)
-            for e in [*ends, *(b for b, _ in own["continue"])]:
-                self._edge(e, block, "controls")
-            after = _join(defs, d1 if ends else {}, *(d for _, d in own["continue"]))
-            out = [block]
-            if s.orelse:
-                out, after = self.run(s.orelse, [block], after, loop)
-            return [*out, *(b for b, _ in own["break"])], _join(after, *(d for _, d in own["break"]))
-        return [block], defs
-
-
-def flow(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
-    """Blocks and control, data-flow and guard edges of all functions of a Python file."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return [], []
-    nodes, edges = [], []
-
-    def visit(node: ast.AST, qual: str) -> None:
-        for c in ast.iter_child_nodes(node):
-            if isinstance(c, (*_DEF, ast.ClassDef)):
-                name = f"{path}::{c.name}" if not qual else f"{qual}::{c.name}"
-                if isinstance(c, _DEF):
-                    f = _Flow(path, text, c, name)
-                    nodes.extend(f.nodes)
-                    edges.extend((a, b, k, WEIGHTS[k], m) for a, b, k, m in f.edges)
-                visit(c, name)
-            else:
-                visit(c, qual)
-
-    visit(tree, "")
-    return nodes, edges
+def warnings_of(rows: DataFrame) -> DataFrame:
+    """(file_path, stage, message)."""
+    return rows.filter("what = 'warning'").select("file_path", F.col("kind").alias("stage"), F.col("signature").alias("message"))
 
 
 def extract(files: DataFrame, what: str = "symbols", path: str = "path", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges by name) of files (path, text), for ``symbols`` or ``flow``; other languages than Python give a
-    file node and no flow. One file is one unit of work, so nothing is shuffled."""
-    fn = {"symbols": symbols, "flow": flow}[what]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for p, t in zip(b["p"], b["t"]):
-                t = t.replace("\r\n", "\n")
-                if p.endswith(".py"):
-                    ns, es = fn(p, t)
-                else:
-                    ns, es = ([("file", p, p, p, 1, t.count("\n") + 1, None, None)] if what == "symbols" else []), []
-                rows += [(True, *n, *[None] * 5) for n in ns] + [(False, e[2], *[None] * 7, e[0], e[1], e[2], e[3], e[4]) for e in es]
-            cols = ["is_node", *NODE, *(f"e_{c}" for c in EDGE)]
-            df = pd.DataFrame(rows, columns=cols)
-            df[["start_line", "end_line"]] = df[["start_line", "end_line"]].astype("Int32")
-            yield df
-
-    schema = (
-        "is_node boolean, kind string, name string, short_name string, file_path string, start_line int, end_line int, signature string, parent_name string, "
-        "e_src_name string, e_dst_name string, e_kind string, e_weight double, e_metadata string"
-    )
-    both = spread(files.select(F.col(path).alias("p"), F.col(text).alias("t")).dropna()).mapInPandas(run, schema)
-    return both.filter("is_node").select(*NODE), both.filter("not is_node").select(*[F.col(f"e_{c}").alias(c) for c in EDGE])
+    """(nodes, edges by name) of :func:`tagged`, which is computed for each of them unless it is written first."""
+    rows = tagged(files, what, path, text)
+    return nodes_of(rows), edges_of(rows)
 
 
 def aggregate_edges(edges: DataFrame) -> DataFrame:
     """One edge for each (src_name, dst_name, kind), with the metadata of all of them as a sorted array."""
     return edges.groupBy("src_name", "dst_name", "kind").agg(F.max("weight").alias("weight"), F.array_sort(F.collect_set("metadata")).alias("items"))
+
+
+def persist_blocks(blocks: DataFrame, symbols_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks whose function is an indexed symbol, warnings (name, message) for the others)."""
+    known = symbols_.filter(F.col("kind").isin("function", "method")).select(F.col("name").alias("parent_name")).distinct()
+    lost = blocks.select("parent_name").distinct().join(known, "parent_name", "left_anti")
+    return blocks.join(known, "parent_name", "left_semi"), lost.select(F.col("parent_name").alias("name"), F.lit("function is not indexed").alias("message"))

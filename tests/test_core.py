@@ -168,7 +168,7 @@ def test_chunks_tile_files(spark):
         w = chunking.windows(text)
         assert "".join(text.encode()[s:e].decode() for _, _, s, e in w) == text
         assert all(a[3] == b[2] for a, b in zip(w, w[1:]))
-    got = chunking.python_chunks(src)
+    got = chunking.syntax_chunks("a.py", src)
     raw = src.encode()
     assert b"".join(raw[s:e] for *_, s, e in got) == raw
     assert ("function", "f", "module/function[f]") in {g[:3] for g in got} and any(g[0] == "method" and g[2] == "module/class[A]/method[m3]" for g in got)
