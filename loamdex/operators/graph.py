@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.functions.text import common_prefix, directory
+from loamdex.functions.text import directory
 from loamdex.session import Scratch
 
 EXPAND_KINDS = ["calls", "imports", "inherits", "references"]
@@ -32,16 +32,40 @@ def compatible(edge_kind: Column, node_kind: Column) -> Column:
     )
 
 
-def number_nodes(found: DataFrame) -> DataFrame:
-    """Ids in order of (file, start_byte, -end_byte, name), and parents looked up by name among earlier nodes; of
-    several the last one is taken."""
-    order = Window.orderBy("file_path", "start_byte", F.desc("end_byte"), "name")
-    # A dense numbering needs one global order; only keys pass through it.
-    ids = found.select("file_path", "start_byte", "end_byte", "name").distinct().withColumn("id", F.row_number().over(order).cast("long"))
-    rows = found.join(ids, ["file_path", "start_byte", "end_byte", "name"])
-    par = rows.select(F.col("name").alias("parent_name"), F.col("id").alias("pid"))
-    got = rows.filter("parent_name is not null").join(par, "parent_name").filter("pid < id").groupBy("id").agg(F.max("pid").alias("parent_id"))
-    return rows.join(got, "id", "left")
+def number_nodes(found: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Ids from 1 in order of (file, start_byte, -end_byte, name), and parents looked up by name among earlier nodes;
+    of several the last one is taken. Keys are laid in ranges and each range is numbered from what the ranges before
+    it hold, so no task sees all of them."""
+    scratch = scratch or Scratch(found.sparkSession)
+    key = ["file_path", "start_byte", "end_byte", "name"]
+    order = [F.col("file_path"), F.col("start_byte"), F.desc("end_byte"), F.col("name")]
+    laid = found.select(*key).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    keys = scratch.keep(laid.select(*key, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    held = sorted((r.part, r["count"], r.low) for r in keys.groupBy("part").agg(F.count("*").alias("count"), F.min("at").alias("low")).collect())  # one row a partition
+    shift, rows = 1, []
+    for part, n, low in held:
+        rows.append((part, shift - low))
+        shift += n
+    add = F.broadcast(found.sparkSession.createDataFrame(rows, "part int, shift long"))
+    ids = keys.join(add, "part").select(*key, (F.col("at") + F.col("shift")).alias("id"))
+    known = scratch.keep(found.join(ids, key))
+    by_name = known.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("pid")).withColumnRenamed("name", "parent_name")
+    want = known.filter("parent_name is not null").select("id", "parent_name").join(by_name, "parent_name")
+    once = want.filter("n = 1 and pid < id").select("id", F.col("pid").alias("parent_id"))
+    # Of a name defined again the last definition before the node: what both sides of a window say in order of id.
+    again = by_name.filter("n > 1").select("parent_name")
+    marks = known.select(F.col("name").alias("parent_name"), "id", F.col("id").alias("pid")).join(again, "parent_name", "left_semi")
+    asks = want.filter("n > 1").select("parent_name", "id", F.lit(None).cast("long").alias("pid"), F.lit(True).alias("ask"))
+    last = F.last("pid", ignorenulls=True).over(Window.partitionBy("parent_name").orderBy("id", F.coalesce("ask", F.lit(False)).desc()).rowsBetween(Window.unboundedPreceding, -1))
+    twice = asks.unionByName(marks.withColumn("ask", F.lit(False))).withColumn("parent_id", last).filter("ask and parent_id is not null").select("id", "parent_id")
+    return known.join(once.unionByName(twice), "id", "left")
+
+
+def _places(folder: Column) -> Column:
+    """(level, place) of a folder: itself as level 0, and each of its leading parts with their number."""
+    parts = F.split(folder, "/")
+    lead = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("level"), F.array_join(F.slice(parts, 1, i), "/").alias("place")))
+    return F.concat(F.array(F.struct(F.lit(0).alias("level"), folder.alias("place"))), F.when(folder == "", F.array().cast("array<struct<level:int,place:string>>")).otherwise(lead))
 
 
 def resolve_edges(raw: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -50,7 +74,10 @@ def resolve_edges(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     The source is an exact name, else a unique short name. The destination is an exact name if its kind fits the
     edge, else a short name among fitting kinds; of several those in the source's folder, else those of the
     longest common folder prefix, and exactly one must be left. Self-edges are dropped, the first of equal
-    (src, dst, kind) by weight holds."""
+    (src, dst, kind) by weight holds.
+
+    Short names are resolved for each (name, kind, folder) once, and definitions are counted by (name, kind, place)
+    first, so that calls and definitions of a name that everyone uses never meet pair by pair."""
     full = nodes.groupBy("name").agg(F.max(F.struct("id", "kind", "file_path")).alias("n"))
     short = nodes.groupBy("short_name").agg(F.count("*").alias("c"), F.max(F.struct("id", "file_path")).alias("n")).filter("c = 1")
     e = raw.join(full.select(F.col("name").alias("src_name"), F.col("n.id").alias("s1"), F.col("n.file_path").alias("f1")), "src_name", "left")
@@ -58,14 +85,23 @@ def resolve_edges(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     e = e.withColumn("src", F.coalesce("s1", "s2")).withColumn("sf", F.coalesce("f1", "f2")).filter("src is not null")
     e = e.join(full.select(F.col("name").alias("dst_name"), F.col("n.id").alias("d1"), F.col("n.kind").alias("k1")), "dst_name", "left")
     exact = e.filter("d1 is not null").filter(compatible(F.col("kind"), F.col("k1"))).select("src", F.col("d1").alias("dst"), "kind", "weight")
-    cand = nodes.select(F.col("short_name").alias("dst_name"), F.col("id").alias("d"), F.col("kind").alias("dk"), F.col("file_path").alias("df"))
-    loose = e.filter("d1 is null").select("src", "sf", "dst_name", "kind", "weight").distinct().join(cand, "dst_name").filter(compatible(F.col("kind"), F.col("dk")))
-    near = F.when(directory(F.col("df")) == directory(F.col("sf")), F.lit(1_000_000)).otherwise(common_prefix(directory(F.col("sf")), directory(F.col("df"))))
-    key = ["src", "dst_name", "kind"]
-    best = loose.withColumn("near", near).groupBy(*key, "near").agg(F.count("*").alias("c"), F.max("d").alias("d"), F.max("weight").alias("weight"))
-    best = best.groupBy(*key).agg(F.max(F.struct("near", "c", "d", "weight")).alias("m"), F.sum("c").alias("all"))
-    chosen = best.filter((F.col("all") == 1) | ((F.col("m.near") > 0) & (F.col("m.c") == 1)))
-    every = exact.unionByName(chosen.select("src", F.col("m.d").alias("dst"), "kind", F.col("m.weight").alias("weight")))
+    loose = e.filter("d1 is null").select("src", directory(F.col("sf")).alias("folder"), "dst_name", "kind", "weight")
+    kinds = ["calls", "inherits", "imports", "references"]
+    asked = loose.select("dst_name", "kind", "folder").distinct()
+    fits = F.array(*[F.when(compatible(F.lit(k), F.col("kind")), k) for k in kinds], F.lit("*"))
+    cand = nodes.select(F.col("short_name").alias("dst_name"), "id", F.explode(F.array_compact(fits)).alias("fit"), directory(F.col("file_path")).alias("folder"))
+    cand = cand.join(asked.select("dst_name").distinct(), "dst_name", "left_semi")
+    everywhere = cand.groupBy("dst_name", "fit").agg(F.count("*").alias("n"), F.max("id").alias("d"))
+    placed = cand.withColumn("p", F.explode(_places(F.col("folder")))).groupBy("dst_name", "fit", "p.level", "p.place").agg(F.count("*").alias("n"), F.max("id").alias("d"))
+    fit = F.when(F.col("kind").isin(kinds), F.col("kind")).otherwise("*")
+    asked = asked.withColumn("fit", fit)
+    alone = asked.join(everywhere.filter("n = 1"), ["dst_name", "fit"]).select("dst_name", "kind", "folder", "d")
+    many = asked.join(everywhere.filter("n > 1").select("dst_name", "fit"), ["dst_name", "fit"]).withColumn("p", F.explode(_places(F.col("folder"))))
+    near = many.select("dst_name", "kind", "folder", "fit", "p.level", "p.place").join(placed, ["dst_name", "fit", "level", "place"])
+    rank = F.when(F.col("level") == 0, 1_000_000).otherwise(F.col("level"))
+    best = near.groupBy("dst_name", "kind", "folder").agg(F.max(F.struct(rank.alias("rank"), "n", "d")).alias("m")).filter("m.n = 1").select("dst_name", "kind", "folder", F.col("m.d").alias("d"))
+    chosen = loose.join(alone.unionByName(best), ["dst_name", "kind", "folder"])
+    every = exact.unionByName(chosen.select("src", F.col("d").alias("dst"), "kind", "weight"))
     return every.filter("src <> dst").groupBy("src", "dst", "kind").agg(F.max("weight").alias("weight"))
 
 
@@ -83,13 +119,54 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, kinds: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """(id, score, rank): chunks one undirected hop from the seeds' chunks (id), by largest edge weight, ties by id."""
+#: Ids that are sent to a scan as a filter; more are joined.
+KEYS = 2_000
+
+
+class Adjacency:
+    """Edges read by their ends: ``out`` and ``into`` map a list of ids, or None for all, to (src, dst, kind, weight).
+    Over an index the ids choose folders and row groups; over a plain table they are a pushed filter."""
+
+    def __init__(self, out: Callable[[list[int] | None], DataFrame], into: Callable[[list[int] | None], DataFrame]):
+        self.out, self.into = out, into
+
+    @classmethod
+    def of(cls, edges: DataFrame) -> Adjacency:
+        by = lambda c: lambda ids: edges if ids is None else edges.filter(F.col(c).isin(ids))
+        return cls(by("src"), by("dst"))
+
+    def steps(self, ids: list[int] | DataFrame, kinds: list[str] | None, ways: str = "both") -> DataFrame:
+        """(a, b, kind, weight): edges from ids of a frontier (a list, or a table with column id) to their other ends."""
+        parts = []
+        for way, read, a, b in (("out", self.out, "src", "dst"), ("in", self.into, "dst", "src")):
+            if ways not in (way, "both"):
+                continue
+            e = read(ids if isinstance(ids, list) else None)
+            e = e if kinds is None else e.filter(F.col("kind").isin(kinds))
+            e = e.select(F.col(a).alias("a"), F.col(b).alias("b"), "kind", "weight")
+            parts.append(e if isinstance(ids, list) else e.join(ids.select(F.col("id").alias("a")), "a", "left_semi"))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _small(df: DataFrame, most: int = KEYS) -> list | None:
+    """The rows of a table if there are no more than ``most``, else None."""
+    rows = df.limit(most + 1).collect()
+    return rows if len(rows) <= most else None
+
+
+def expand(
+    seeds: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, kinds: list[str] | None = None, limit: int | None = None, allowed: DataFrame | None = None
+) -> DataFrame:
+    """(id, score, rank): chunks one undirected hop from the seeds' chunks (id), by largest edge weight, ties by id.
+    With ``allowed`` (id), only those chunks."""
+    adj = edges if isinstance(edges, Adjacency) else Adjacency.of(edges)
     of = nodes.filter("chunk_id is not null").select("id", "chunk_id").distinct()
-    start = of.join(seeds.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("id").alias("src"))
-    e = edges if kinds is None else edges.filter(F.col("kind").isin(kinds))
-    far = _both(e).join(start, "src", "left_semi").select(F.col("dst").alias("id"), "weight").join(of, "id")
+    start = of.join(seeds.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select("id").distinct()
+    few = _small(start)
+    far = adj.steps([r.id for r in few] if few is not None else start, kinds).select(F.col("b").alias("id"), "weight").join(of, "id")
     scored = far.groupBy(F.col("chunk_id").alias("id")).agg(F.max("weight").cast("double").alias("score"))
+    if allowed is not None:
+        scored = scored.join(allowed.select("id").distinct(), "id", "left_semi")
     n = limit if limit is not None else max(1, 3 * seeds.count())
     best = scored.orderBy(F.desc("score"), "id").limit(n)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
@@ -158,12 +235,13 @@ def pagerank(
 
 def personalised(nodes: DataFrame, edges: DataFrame, weights: DataFrame, most: int = 10) -> DataFrame:
     """(id, score, rank) of chunks: PageRank restarted at the nodes of weighted chunks (id, weight), the largest
-    score of each chunk, for those chunks only."""
+    score of each chunk to 12 decimals, for those chunks only. Of a chunk given twice the larger weight holds."""
     of = nodes.filter("chunk_id is not null and kind <> 'block'").select("id", "chunk_id").distinct()
-    start = of.join(weights.select(F.col("id").alias("chunk_id"), F.col("weight").cast("double").alias("p")), "chunk_id").select("id", "p")
+    once = weights.groupBy("id").agg(F.max(F.col("weight").cast("double")).alias("p"))
+    start = of.join(once.select(F.col("id").alias("chunk_id"), "p"), "chunk_id").select("id", "p")
     scores = pagerank(of.select("id"), edges, most=most, teleport=start)
-    best = scores.join(of, "id").groupBy(F.col("chunk_id").alias("id")).agg(F.max("score").alias("score"))
-    best = best.join(weights.select("id"), "id", "left_semi")
+    best = scores.join(of.join(once.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi"), "id").groupBy(F.col("chunk_id").alias("id")).agg(F.round(F.max("score"), 12).alias("score"))
+    best = best.filter(F.lit(bool(start.limit(1).count())))
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
@@ -175,58 +253,105 @@ def lookup(nodes: DataFrame, q: str, blocks: bool = False) -> DataFrame:
     return n.withColumn("level", level).filter("level is not null").orderBy("level", F.desc("pagerank"), "name", "id").limit(1).drop("level")
 
 
-def adjacent(nodes: DataFrame, edges: DataFrame, node_id: int, incoming: bool, kinds: list[str], k: int = 20) -> DataFrame:
+def adjacent(nodes: DataFrame, edges: DataFrame | Adjacency, node_id: int, incoming: bool, kinds: list[str], k: int = 20) -> DataFrame:
     """Callers (incoming) or callees: non-block neighbours over ``kinds`` by pagerank, then name."""
-    here, there = ("dst", "src") if incoming else ("src", "dst")
-    ids = edges.filter(F.col("kind").isin(kinds) & (F.col(here) == node_id)).select(F.col(there).alias("id")).distinct()
-    return nodes.dropDuplicates(["id"]).filter("kind <> 'block'").join(ids, "id", "left_semi").orderBy(F.desc("pagerank"), "name", "id").limit(k).select("id", "name", "kind", "pagerank")
-
-
-def reach(edges: DataFrame, start: DataFrame, hops: int, directed: bool = False) -> DataFrame:
-    """(id, distance): what a breadth-first search from ``start`` (id) reaches in ``hops`` steps, the start included."""
-    scratch = Scratch(edges.sparkSession)
-    links = edges.select("src", "dst", "weight") if directed else _both(edges)
-    links = scratch.keep(links.select("src", "dst").distinct())
-    seen = scratch.keep(start.select("id", F.lit(0).alias("distance")))
-    front = seen.select("id")
-    for d in range(1, hops + 1):
-        step = links.join(front.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+    adj = edges if isinstance(edges, Adjacency) else Adjacency.of(edges)
+    ids = adj.steps([node_id], kinds, "in" if incoming else "out").select(F.col("b").alias("id")).distinct()
+    return nodes.filter("kind <> 'block'").join(ids, "id", "left_semi").dropDuplicates(["id"]).orderBy(F.desc("pagerank"), "name", "id").limit(k).select("id", "name", "kind", "pagerank")
+
+
+def reach(edges: DataFrame | Adjacency, start: list[int], hops: int, directed: bool = False, kinds: list[str] | None = None, keys: int = KEYS) -> DataFrame:
+    """(id, distance): what a breadth-first search from ``start`` reaches in ``hops`` steps, the start included.
+
+    While a frontier has no more than ``keys`` ids they are a filter of the next scan; beyond, it is a written table
+    that the edges are joined with."""
+    adj = edges if isinstance(edges, Adjacency) else Adjacency.of(edges)
+    ways = "out" if directed else "both"
+    some = adj.out([])
+    spark = some.sparkSession
+    near = dict.fromkeys(start, 0)
+    front: list[int] = list(near)
+    d = 0
+    while front and d < hops:
+        step = adj.steps(front, kinds, ways).select("b").distinct()
+        got = _small(step, keys)
+        if got is None:
+            break
+        front = [r.b for r in got if r.b not in near]
+        d += 1
+        near.update(dict.fromkeys(front, d))
+        if len(near) > 50 * keys:
+            break
+    seen = spark.createDataFrame(list(near.items()), "id long, distance int")
+    if not front or d >= hops:
+        return seen
+    scratch = Scratch(spark)
+    seen = scratch.keep(seen)
+    last = seen.filter(F.col("distance") == d).select("id")
+    for d in range(d + 1, hops + 1):
+        step = adj.steps(last, kinds, ways).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
         new = scratch.keep(step.select("id", F.lit(d).alias("distance")))
         if not new.limit(1).count():
             break
-        seen, front = scratch.keep(seen.unionByName(new)), new.select("id")
+        seen, last = scratch.keep(seen.unionByName(new)), new.select("id")
     return seen
 
 
-def neighbors(nodes: DataFrame, edges: DataFrame, node_id: int, hops: int = 2, k: int = 20, kinds: list[str] | None = None) -> DataFrame:
+def neighbors(nodes: DataFrame, edges: DataFrame | Adjacency, node_id: int, hops: int = 2, k: int = 20, kinds: list[str] | None = None) -> DataFrame:
     """Non-block nodes within ``hops`` undirected steps, with their least distance, by pagerank, then name."""
-    e = edges.filter(F.col("kind").isin(kinds or WALK_KINDS))
-    near = reach(e, nodes.filter(F.col("id") == node_id).select("id").distinct(), hops).filter("distance > 0")
-    one = nodes.dropDuplicates(["id"]).filter("kind <> 'block'")
-    return one.join(near, "id").orderBy(F.desc("pagerank"), "name", "id").limit(k).select("id", "name", "distance", "pagerank")
+    near = reach(edges, [node_id], hops, kinds=kinds or WALK_KINDS).filter("distance > 0")
+    return nodes.filter("kind <> 'block'").join(near, "id").dropDuplicates(["id"]).orderBy(F.desc("pagerank"), "name", "id").limit(k).select("id", "name", "distance", "pagerank")
 
 
-def inheritance_chain(edges: DataFrame, node_id: int, kind: str = "inherits", most: int = 20) -> DataFrame:
+def inheritance_chain(edges: DataFrame | Adjacency, node_id: int, kind: str = "inherits", most: int = 20) -> DataFrame:
     """(id, depth): what a node inherits from, directly or not, with the least depth; a node once met isn't expanded
     again, which also ends circles."""
-    return reach(edges.filter(F.col("kind") == kind), edges.sparkSession.range(node_id, node_id + 1), most, True).filter("distance > 0").select("id", F.col("distance").alias("depth"))
+    return reach(edges, [node_id], most, True, [kind]).filter("distance > 0").select("id", F.col("distance").alias("depth"))
 
 
-def shortest_path(edges: DataFrame, source: int, target: int, hops: int = 8, kinds: list[str] | None = None) -> DataFrame:
+def shortest_path(edges: DataFrame | Adjacency, source: int, target: int, hops: int = 8, kinds: list[str] | None = None, keys: int = KEYS) -> DataFrame:
     """(path_index, id): the shortest directed path, of several the one whose array of ids is smallest; empty if none
-    within ``hops``. Each node of a frontier keeps one path, so paths don't multiply."""
-    scratch = Scratch(edges.sparkSession)
-    links = scratch.keep(edges.filter(F.col("kind").isin(kinds or WALK_KINDS)).select("src", "dst").distinct())
-    front = edges.sparkSession.range(source, source + 1).select("id", F.array("id").alias("path"))
-    seen = scratch.keep(front.select("id"))
-    for _ in range(hops):
-        step = links.join(front.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("path").alias("path"))
+    within ``hops``. Each node of a frontier keeps one path, so paths don't multiply. Frontiers of up to ``keys`` ids
+    are filters of the next scan, larger ones written tables."""
+    adj = edges if isinstance(edges, Adjacency) else Adjacency.of(edges)
+    kinds = kinds or WALK_KINDS
+    spark = adj.out([]).sparkSession
+    row = "path_index int, id long"
+    front: dict[int, list[int]] = {source: [source]}
+    seen = {source}
+    d = 0
+    while d < hops:
+        got = _small(adj.steps(list(front), kinds, "out").select("a", "b").distinct(), 8 * keys)
+        if got is None:
+            break
+        step: dict[int, list[int]] = {}
+        for a, b in got:
+            p = [*front[a], b]
+            if b not in step or p < step[b]:
+                step[b] = p
+        if target in step:
+            return spark.createDataFrame(list(enumerate(step[target])), row)
+        front = {b: p for b, p in step.items() if b not in seen}
+        if not front:
+            return spark.createDataFrame([], row)
+        seen |= front.keys()
+        d += 1
+        if len(front) > keys:
+            break
+    if d >= hops:
+        return spark.createDataFrame([], row)
+    scratch = Scratch(spark)
+    old = scratch.keep(spark.createDataFrame([(i,) for i in seen], "id long"))
+    at = scratch.keep(spark.createDataFrame(list(front.items()), "id long, path array<long>"))
+    for _ in range(d, hops):
+        links = adj.steps(at, kinds, "out").select("a", "b").distinct()
+        step = links.join(at.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("path").alias("path"))
         step = scratch.keep(step.select("id", F.concat("path", F.array("id")).alias("path")))
         hit = step.filter(F.col("id") == target)
         if hit.limit(1).count():
             return hit.select(F.posexplode("path").alias("path_index", "id"))
-        front = scratch.keep(step.join(seen, "id", "left_anti"))
-        if not front.limit(1).count():
+        at = scratch.keep(step.join(old, "id", "left_anti"))
+        if not at.limit(1).count():
             break
-        seen = scratch.keep(seen.unionByName(front.select("id")))
-    return edges.sparkSession.createDataFrame([], "path_index int, id long")
+        old = scratch.keep(old.unionByName(at.select("id")))
+    return spark.createDataFrame([], row)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -14,52 +17,106 @@ from loamdex.functions import text as T
 from loamdex.session import spread
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, id, tf, positions): the inverted index, made with one shuffle on (term, id)."""
-    each = spread(docs.select(id_col, text)).select(F.col(id_col).alias("id"), F.posexplode(T.tokens(text)).alias("pos", "term"))
-    return each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tag: Column | None = None, stem: bool = False) -> DataFrame:
+    """(term, id, tf, positions, dl, tag): the inverted index. A document's terms are counted where it is read, so
+    nothing is shuffled; ``dl`` is its length and ``tag`` what searches may filter by. Documents without a term
+    have no row; :func:`lengths` counts them."""
+    base = spread(docs.select(F.col(id_col).alias("id"), F.col(text), (tag if tag is not None else F.lit(None).cast("string")).alias("tag"))).filter(F.col(text).isNotNull())
+    base = base.select("id", "tag", T.tokens(text).alias("t"))
+    if stem:
+        base = base.withColumn("t", stem_tokens("t"))
+    kind = dict(base.dtypes)["id"]
+    return base.select("id", "tag", "t").mapInArrow(_invert, f"term string, id {kind}, tf long, positions array<int>, dl int, tag string")
+
+
+def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of the documents of a batch: their tokens sorted by (document, term), each pair one row."""
+    for b in batches:
+        t = b.column("t")
+        n = t.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = t.flatten().dictionary_encode()
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(n)), n)
+        pos = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        key = doc * max(len(words.dictionary), 1) + code
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        offsets = np.append(first, len(key)).astype(np.int32)
+        own = doc[order[first]]
+        yield pa.RecordBatch.from_arrays(
+            [words.dictionary.take(pa.array(code[order[first]])), b.column("id").take(pa.array(own)), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos[order])),
+             pa.array(n[own].astype(np.int32)), b.column("tag").take(pa.array(own))],
+            names=["term", "id", "tf", "positions", "dl", "tag"],
+        )
+
+
+def lengths(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(n, avgdl): one row of corpus statistics; a null text is a document of length 0."""
+    dl = F.coalesce(F.size(T.tokens(text)), F.lit(0))
+    return docs.select(F.greatest(dl, F.lit(0)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def phrases(query: str) -> list[list[str]]:
-    """White-space pieces of a query as phrases of folded tokens; a piece of several tokens must occur adjacently."""
+    """White-space pieces of a query as phrases of folded tokens; a piece of several tokens must occur adjacently. A
+    piece that occurs twice counts twice."""
     a, b = T._accents()
     low = query.lower().translate(str.maketrans(a, b))
-    out = [re.findall(r"[^\W_]+", p) for p in low.split()]
-    return [p for p in dict.fromkeys(map(tuple, out)) if p]
+    out = [tuple(re.findall(r"[^\W_]+", p)) for p in low.split()]
+    return [p for p in out if p]
+
 
+def query_terms(query: str, stem: bool = False) -> list[str]:
+    """Distinct terms of a query: the keys of the postings that it needs."""
+    return sorted({porter(w) if stem else w for p in phrases(query) for w in p})
 
-def bm25(docs: DataFrame, query: str, k: int = 50, id_col: str = "doc_id", text: str = "text", keep: Column | None = None, stem: bool = False) -> DataFrame:
+
+def search(held: DataFrame, stats: DataFrame, query: str, k: int = 50, tags: list[str] | None = None, stem: bool = False) -> DataFrame:
     """(id, score, rank): the k best by BM25; lower scores are better, as in the index this replaces.
 
-    Corpus statistics count the whole table while ``keep`` only filters what is ranked. A term that more than half
-    of the documents hold has its idf clamped to 1e-6. Ties go to the smaller id. Without a usable term, nothing.
-    One pass over the text makes lengths and term frequencies; only those numbers reach the second stage."""
-    terms = phrases(query)
-    toks = T.tokens(text)
-    base = spread(docs.select(F.col(id_col).alias("id"), F.col(text), (keep if keep is not None else F.lit(True)).alias("keep"))).select("id", toks.alias("t"), "keep")
-    if stem:
-        terms = [tuple(porter(w) for w in p) for p in terms]
-        base = base.withColumn("t", stem_tokens("t"))
+    ``held`` are the postings of :func:`query_terms`, ``stats`` the row of :func:`lengths`. Corpus statistics count the
+    whole table while ``tags`` only filter what is ranked. A term that more than half of the documents hold has its
+    idf clamped to 1e-6. Ties go to the smaller id. Without a usable term, nothing."""
+    parts = [tuple(porter(w) for w in p) if stem else p for p in phrases(query)]
+    times = Counter(parts)
+    terms = sorted({w for p in parts for w in p})
     if not terms:
-        return base.select("id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+        return held.select("id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    at = {t: f"p{i}" for i, t in enumerate(terms)}
+    none = F.array().cast("array<int>")
+    # One row a document: of every term of the query its positions.
+    docs = held.filter(F.col("term").isin(terms)).groupBy("id").agg(
+        F.max("dl").alias("dl"), F.max("tag").alias("tag"), *[F.coalesce(F.max(F.when(F.col("term") == t, F.col("positions"))), none).alias(c) for t, c in at.items()]
+    )
 
-    # Every token stands between spaces, and looking ahead lets matches overlap.
-    base = base.select("id", "keep", F.size("t").alias("dl"), F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("s"))
+    def shifted(w: str, j: int) -> Column:
+        return F.transform(at[w], lambda x: x - j)
 
     def tf(p: tuple[str, ...]) -> Column:
-        return F.regexp_count("s", F.lit(f" (?={' '.join(p)} )"))
+        starts = F.col(at[p[0]])
+        for j, w in enumerate(p[1:], 1):
+            starts = F.array_intersect(starts, shifted(w, j))
+        return F.size(starts)
 
-    counted = base.select("id", "keep", "dl", *[tf(p).alias(f"f{i}") for i, p in enumerate(terms)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
+    counted = docs.select("id", "dl", "tag", *[tf(p).alias(f"f{i}") for i, p in enumerate(times)])
+    df = counted.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(times))])
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i, m in enumerate(times.values()):
         idf = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
         idf = F.when(idf <= 0, 1e-6).otherwise(idf)
         f = F.col(f"f{i}")
-        score = score - F.when(f > 0, idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
-    some = F.greatest(*[F.col(f"f{i}") for i in range(len(terms))], F.lit(0)) > 0
-    hits = counted.filter(some & F.col("keep")).crossJoin(F.broadcast(stats)).select("id", F.round(score, 9).alias("score"))
-    return top(hits, k, ascending=True)
+        score = score - F.when(f > 0, m * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
+    some = F.greatest(*[F.col(f"f{i}") for i in range(len(times))], F.lit(0)) > 0
+    if tags is not None:
+        some = some & F.coalesce(F.col("tag").isin(tags), F.lit(False))
+    one = F.broadcast(df.crossJoin(stats))  # one row by one row
+    return top(counted.filter(some).crossJoin(one).select("id", F.round(score, 9).alias("score")), k, ascending=True)
+
+
+def bm25(docs: DataFrame, query: str, k: int = 50, id_col: str = "doc_id", text: str = "text", tag: Column | None = None, tags: list[str] | None = None, stem: bool = False) -> DataFrame:
+    """:func:`search` over texts that have no index: one pass makes the postings of the query's terms only."""
+    held = postings(docs, id_col, text, tag, stem).filter(F.col("term").isin(query_terms(query, stem)))
+    return search(held, lengths(docs, id_col, text), query, k, tags, stem)
 
 
 def top(scored: DataFrame, k: int, ascending: bool = False) -> DataFrame:
@@ -76,18 +133,26 @@ def trigram_index(chunks: DataFrame, id_col: str = "id", text: str = "content")
     return per.select(F.explode(T.trigrams(F.col("symbol"))).alias("trigram"), "id", "symbol", "occurrences")
 
 
-def trigram_search(index: DataFrame, query: str, k: int = 50) -> DataFrame:
+def query_trigrams(query: str) -> list[str]:
+    """Distinct trigrams of a query: the keys of the trigram rows that it needs."""
     p = f"  {query.lower()} "
-    grams = sorted({p[i : i + 3] for i in range(len(p) - 2)}) if query.strip() else []
-    hits = index.filter(F.col("trigram").isin(grams)).groupBy("id").agg(F.sum("occurrences").cast("double").alias("score"))
+    return sorted({p[i : i + 3] for i in range(len(p) - 2)}) if query.strip() else []
+
+
+def trigram_search(held: DataFrame, query: str, k: int = 50) -> DataFrame:
+    """The k chunks with the most occurrences of symbols over the query's trigrams, of the rows of those trigrams."""
+    hits = held.filter(F.col("trigram").isin(query_trigrams(query))).groupBy("id").agg(F.sum("occurrences").cast("double").alias("score"))
     return top(hits, k)
 
 
-def symbol_search(nodes: DataFrame, symbol: str, k: int = 50) -> DataFrame:
-    """Chunks of non-block nodes of that name or short name; score is k minus the position in order of id."""
+def symbol_search(nodes: DataFrame, symbol: str, k: int = 50, allowed: DataFrame | None = None) -> DataFrame:
+    """Chunks of non-block nodes of that name or short name; score is k minus the position in order of id. With
+    ``allowed`` (id), only those chunks."""
     hit = nodes.filter((F.col("kind") != "block") & F.col("chunk_id").isNotNull() & ((F.col("short_name") == symbol) | (F.col("name") == symbol)))
-    ids = hit.select(F.col("chunk_id").alias("id")).distinct().orderBy("id").limit(k)
-    ranked = ids.withColumn("rank", F.row_number().over(Window.orderBy("id")))
+    hit = hit.select(F.col("chunk_id").alias("id")).distinct()
+    if allowed is not None:
+        hit = hit.join(allowed.select("id").distinct(), "id", "left_semi")
+    ranked = hit.orderBy("id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("id")))
     return ranked.select("id", (F.lit(k) - F.col("rank") + 1).cast("double").alias("score"), "rank")
 
 

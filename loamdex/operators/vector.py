@@ -48,7 +48,7 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id",
     return top(rows.select(F.col(id_col).alias("id"), F.round(cosine(emb, q), 9).alias("score")), k)
 
 
-def knn_overfetch(vectors: DataFrame, query: list[float], k: int, keep: str, factor: int = 6, id_col: str = "vec_id", emb: str = "embedding") -> DataFrame:
+def knn_overfetch(vectors: DataFrame, query: list[float], k: int, keep: Column | str, factor: int = 6, id_col: str = "vec_id", emb: str = "embedding") -> DataFrame:
     """The k nearest after filtering factor * k unfiltered neighbours; may return fewer than k."""
     near = knn(vectors, query, factor * k, id_col, emb)
     ok = near.join(vectors.filter(keep).select(F.col(id_col).alias("id")), "id", "left_semi")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamdex.functions import text as T
-from loamdex.operators import analytics, density, fusion, incremental, lexical, vector
+from loamdex.operators import analytics, density, fusion, graph, incremental, lexical, vector
 from loamdex.operators import changes as C
+from loamdex.plans.indexes import CONTEXT, PRIMARY, RETRIEVABLE, Index
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -32,7 +33,11 @@ _TOK = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
 _DOCS = f"t AS (SELECT doc_id AS id, lang, {_TOK} AS t FROM documents)"
 
 
-def _bm25_sql(terms: list[list[str]], k: int, keep: str = "true") -> str:
+_CHUNKS = rf"""c0 AS (SELECT * FROM chunks WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST) = 1),
+cc AS (SELECT id, repo, file_path, kind, name, start_line, end_line, content, content_hash, lower(category) AS lang FROM c0), t AS (SELECT id, lang, {_TOK.replace('text', 'content')} AS t FROM cc)"""
+
+
+def _bm25_sql(terms: list[list[str]], k: int, keep: str = "true", docs: str = _DOCS) -> str:
     def tf(p: list[str]) -> str:
         if len(p) == 1:
             return f"len(list_filter(t, lambda x: x = '{p[0]}'))"
@@ -44,13 +49,13 @@ def _bm25_sql(terms: list[list[str]], k: int, keep: str = "true") -> str:
     idf = lambda i: f"CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END"
     s = " - ".join(f"CASE WHEN f{i} > 0 THEN ({idf(i)}) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END" for i in range(len(terms)))
     some = " OR ".join(f"f{i} > 0" for i in range(len(terms)))
-    return f"""WITH {_DOCS}, c AS (SELECT id, lang, len(t) AS dl, {fs} FROM t), s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {ns} FROM c)
+    return f"""WITH {docs}, c AS (SELECT id, lang, len(t) AS dl, {fs} FROM t), s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {ns} FROM c)
 SELECT id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY score, id) AS rank FROM (SELECT id, round(CAST(0 - {s} AS DOUBLE), 9) AS score FROM c, s WHERE ({some}) AND {keep})) WHERE rank <= {k}"""
 
 
 @query(f"WITH {_DOCS} SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM t) GROUP BY ALL")
 def token_postings(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.postings(_t(spark, d, "documents")).select("term", "id", "tf")
+    return Index(spark, d, "documents").read("postings").select("term", "id", "tf")
 
 
 @query(f"WITH {_DOCS} SELECT id, len(t) AS dl FROM t")
@@ -60,22 +65,36 @@ def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_bm25_sql([["cache"], ["nightly"], ["ledger"]], 50))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(_t(spark, d, "documents"), "cache nightly ledger")
+    return Index(spark, d, "documents").bm25("cache nightly ledger")
+
+
+@query(_bm25_sql([["cache"], ["cache"], ["ledger"]], 50))
+def bm25_repeated(spark: SparkSession, d: str) -> DataFrame:
+    return Index(spark, d, "documents").bm25("cache cache ledger")
 
 
 @query(_bm25_sql([["port"], ["index"]], 20, "lang = 'de'"))
 def bm25_category(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(_t(spark, d, "documents"), "port index", 20, keep=F.col("lang") == "de")
+    return Index(spark, d, "documents").bm25("port index", 20, ["de"])
 
 
 @query(_bm25_sql([["nightly", "job"], ["api"]], 50))
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(_t(spark, d, "documents"), "nightly_job api")
+    return Index(spark, d, "documents").bm25("nightly_job api")
 
 
 @query()
 def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(_t(spark, d, "documents"), "caches measuring", stem=True)
+    return Index(spark, d, "documents").bm25("caches measuring", stem=True)
+
+
+# A run of capitals ends before a capital that a small letter follows.
+_CAMEL = r"regexp_extract_all(regexp_replace(token, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+[0-9]*|[A-Z]+|[0-9]+')"
+_SPLIT = f"list_filter(list_distinct(list_concat([token], string_split_regex(token, '_+'), {_CAMEL})), lambda p: length(p) >= 2 AND replace(p, '_', '') <> '')"
+_SYMBOLS = f"""o AS (SELECT id, token, count(*) AS n FROM cc, unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]+')) AS u(token) GROUP BY ALL),
+y AS (SELECT id, symbol, CAST(sum(n) AS BIGINT) AS occurrences FROM (SELECT id, n, unnest({_SPLIT}) AS symbol FROM o) GROUP BY ALL),
+g AS (SELECT trigram, id, symbol, occurrences FROM (SELECT id, symbol, occurrences, unnest(list_distinct(list_transform(range(1, length(symbol) + 2), lambda i: substr('  ' || lower(symbol) || ' ', i, 3)))) AS trigram FROM y))"""
+_GRAMS = "list_transform(range(1, 14), lambda i: substr('  parse_header ', i, 3))"
 
 
 @query("SELECT id, token, count(*) AS n FROM (SELECT DISTINCT id, content FROM chunks), unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]+')) AS u(token) GROUP BY ALL")
@@ -84,7 +103,7 @@ def identifier_extract(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", F.explode(T.identifiers("content")).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT short_name, unnest({_SPLIT.replace('token', 'short_name')}) AS part FROM (SELECT DISTINCT short_name FROM nodes)")
 def identifier_split(spark: SparkSession, d: str) -> DataFrame:
     n = _t(spark, d, "nodes").select("short_name").distinct()
     return n.select("short_name", F.explode(T.identifier_parts(F.col("short_name"))).alias("part"))
@@ -99,14 +118,18 @@ def symbol_trigrams(spark: SparkSession, d: str) -> DataFrame:
     return n.select("short_name", F.explode(T.trigrams(F.col("short_name"))).alias("trigram"))
 
 
-@query()
+@query(f"WITH {_CHUNKS}, {_SYMBOLS} SELECT trigram, id, symbol, occurrences FROM g")
 def trigram_index(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.trigram_index(_t(spark, d, "chunks").select("id", "content").distinct())
+    return Index(spark, d, "chunks").read("trigrams")
 
 
-@query()
+_TRI = f"SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank FROM (SELECT id, CAST(sum(occurrences) AS DOUBLE) AS score FROM g WHERE list_contains({_GRAMS}, trigram) GROUP BY id) QUALIFY rank <= 50"
+
+
+@query(f"WITH {_CHUNKS}, {_SYMBOLS} {_TRI}")
 def trigram_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.trigram_search(lexical.trigram_index(_t(spark, d, "chunks").select("id", "content").distinct()), "parse_header")
+    held = Index(spark, d, "chunks").read("trigrams", lexical.query_trigrams("parse_header"))
+    return lexical.trigram_search(held, "parse_header")
 
 
 @query(
@@ -139,7 +162,7 @@ def preview(spark: SparkSession, d: str) -> DataFrame:
 def _two(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
     docs = _t(spark, d, "documents")
     order = lambda *c: docs.orderBy(*c).limit(30).select(F.col("doc_id").alias("id"), F.row_number().over(Window.orderBy(*c)).alias("rank"))
-    return [("long", order(F.desc(F.length("text")), F.col("doc_id"))), ("new", order(F.desc("created_at"), F.col("doc_id"))), ("bm25", lexical.bm25(docs, "cache nightly ledger", 30))]
+    return [("long", order(F.desc(F.length("text")), F.col("doc_id"))), ("new", order(F.desc("created_at"), F.col("doc_id"))), ("bm25", Index(spark, d, "documents").bm25("cache nightly ledger", 30))]
 
 
 _BM = _bm25_sql([["cache"], ["nightly"], ["ledger"]], 30).replace("WITH ", "", 1)
@@ -173,9 +196,93 @@ def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
     return fusion.rerank(_two(spark, d)[0][1], docs, "The nightly job, cache", "text").select("id", "score", F.col("fused").cast("long").alias("fused"), "rank")
 
 
-@query()
+_V = "v AS (SELECT DISTINCT id, kind, name, short_name, chunk_id FROM nodes)"
+
+
+def _symbol_sql(name: str, allowed: str = "true") -> str:
+    return f"""SELECT id, CAST(row_number() OVER (ORDER BY id) AS INT) AS rank FROM (SELECT DISTINCT chunk_id AS id FROM v WHERE kind <> 'block' AND chunk_id IS NOT NULL AND (short_name = '{name}' OR name = '{name}')) WHERE {allowed} QUALIFY rank <= 50"""
+
+
+@query(
+    f"""WITH {_CHUNKS}, {_SYMBOLS}, {_V}, a AS ({_symbol_sql('parse_header')}), b AS ({_TRI}), m AS ({_bm25_sql([['find'], ['parse', 'header']], 50, docs=_CHUNKS)}),
+u AS (SELECT id, 1 / (60 + rank) AS s, 0 AS i, rank, 'symbol' AS source FROM a UNION ALL SELECT id, 1 / (60 + rank), 1, rank, 'trigram' FROM b UNION ALL SELECT id, 1 / (60 + rank), 2, rank, 'bm25' FROM m),
+f AS (SELECT id, round(CAST(sum(CAST(s AS DOUBLE)) AS DOUBLE), 9) AS score, min(i * 1000 + rank) AS first, string_agg(source, '+' ORDER BY source) AS sources FROM u GROUP BY id)
+SELECT id, score, sources, CAST(row_number() OVER (ORDER BY score DESC, first) AS INT) AS rank FROM f"""
+)
 def fast_lane(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.fast_lane(_t(spark, d, "chunks").select("id", "content").distinct(), _t(spark, d, "nodes"), "find parse_header", "parse_header")
+    i, g = Index(spark, d, "chunks"), Index(spark, d, "graph")
+    q = "find parse_header"
+    symbol = spark.range(1).select(T.last_symbol(F.lit(q))).first()[0]
+    return fusion.fast_lane(lexical.symbol_search(_named(g, symbol), symbol), lexical.trigram_search(i.read("trigrams", lexical.query_trigrams(symbol)), symbol), i.bm25(q))
+
+
+def _named(g: Index, symbol: str) -> DataFrame:
+    """Nodes that may bear a name: those of that short name, and of the last part of a qualified one."""
+    return g.read("names", sorted({symbol, symbol.rsplit("::", 1)[-1].rsplit("/", 1)[-1]}))
+
+
+_QUERY = "header parser cache"
+_FULL_TERMS = [[w] for w in _QUERY.split()]
+_DENSE = """w0 AS (SELECT content_hash AS h, arg_max(embedding, created_at) AS e FROM embedding_cache WHERE model_id = 'quillcode-embed-2' AND content_hash IS NOT NULL GROUP BY 1),
+w AS (SELECT cc.id, cc.lang, h, CAST(e AS DOUBLE[]) AS e FROM w0 JOIN cc ON cc.content_hash = h WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x <> 0)) > 0),
+wq AS (SELECT e AS q FROM w ORDER BY h, id LIMIT 1), ws AS (SELECT id, lang, round(list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q, q))), 9) AS score FROM w, wq),
+wr AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM ws)"""
+
+
+def _in(names: list[str]) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+def _dense_sql(k: int, cats: list[str]) -> str:
+    return f"SELECT id, CAST(row_number() OVER (ORDER BY r) AS INT) AS rank FROM wr WHERE r <= {6 * k} AND lang IN {_in(cats)} QUALIFY rank <= {k}"
+
+
+def _fuse_sql(parts: list[tuple[str, str, float]], out: str) -> str:
+    u = " UNION ALL ".join(f"SELECT id, CAST({w} AS DOUBLE) / (60 + rank) AS s, {i} AS i, rank, '{name}' AS source FROM {cte}" for i, (name, cte, w) in enumerate(parts))
+    return f"""{out}u AS ({u}), {out}f AS (SELECT id, round(sum(s), 9) AS score, min(i * 100000 + rank) AS first, string_agg(source, '+' ORDER BY source) AS sources FROM {out}u GROUP BY id),
+{out} AS (SELECT id, score, sources, row_number() OVER (ORDER BY score DESC, first) AS rank FROM {out}f)"""
+
+
+def _ppr_sql(steps: int = 10) -> str:
+    out = ["""pk AS (SELECT DISTINCT id, chunk_id FROM v WHERE chunk_id IS NOT NULL AND kind <> 'block'), pn AS (SELECT DISTINCT id FROM pk), pg AS (SELECT src, dst FROM e SEMI JOIN pn a ON e.src = a.id SEMI JOIN pn b ON e.dst = b.id),
+po AS (SELECT src, count(*) AS o FROM pg GROUP BY src), cand AS (SELECT id, max(w) AS w FROM (SELECT id, 1.0::DOUBLE AS w FROM seeds UNION ALL SELECT id, 0.25 FROM ex) GROUP BY id),
+p0 AS (SELECT pk.id, max(w) AS w FROM pk JOIN cand ON pk.chunk_id = cand.id GROUP BY pk.id), pp AS (SELECT pn.id, coalesce(w, 0) / (SELECT sum(w) FROM p0) AS p FROM pn LEFT JOIN p0 USING (id)),
+x0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM pn) AS x, false AS done FROM pn)"""]
+    for i in range(steps):
+        out.append(f"""y{i} AS (SELECT pp.id, 0.15 * pp.p + 0.85 * coalesce(f.f, 0) + 0.85 * pp.p * (SELECT coalesce(sum(x), 0) FROM x{i} ANTI JOIN po ON x{i}.id = po.src) AS y
+FROM pp LEFT JOIN (SELECT dst, sum(x / o) AS f FROM pg JOIN po ON pg.src = po.src JOIN x{i} ON x{i}.id = pg.src GROUP BY dst) f ON pp.id = f.dst),
+x{i + 1} AS (SELECT id, CASE WHEN done THEN x ELSE y END AS x, done OR (SELECT sum(abs(y - x)) FROM y{i} JOIN x{i} USING (id)) < (SELECT count(*) FROM pn) * 1e-6 AS done FROM x{i} JOIN y{i} USING (id))""")
+    out.append(f"pr AS (SELECT pk.chunk_id AS id, round(max(x), 12) AS score FROM x{steps} JOIN pk USING (id) SEMI JOIN cand ON pk.chunk_id = cand.id GROUP BY 1), ppr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM pr)")
+    return ", ".join(out)
+
+
+_OVER = r"""len(list_intersect(['header', 'parser', 'cache'], list_distinct(list_transform(regexp_split_to_array(substr(content, 1, 512), '\s+'), lambda x: regexp_replace(regexp_replace(lower(x), '^[.,:;()\[\]{}]+', ''), '[.,:;()\[\]{}]+$', '')))))"""
+
+
+@query(
+    f"""WITH {_CHUNKS}, {_V}, e AS (SELECT DISTINCT n.parent_id AS src, n.id AS dst FROM nodes n SEMI JOIN nodes p ON n.parent_id = p.id), {_DENSE},
+b1 AS ({_bm25_sql(_FULL_TERMS, 50, f'lang IN {_in(PRIMARY)}', _CHUNKS)}), d1 AS ({_dense_sql(50, PRIMARY)}), s1 AS ({_symbol_sql('cache', f'id IN (SELECT id FROM cc WHERE lang IN {_in(RETRIEVABLE)})')}),
+b2 AS ({_bm25_sql(_FULL_TERMS, 20, f'lang IN {_in(CONTEXT)}', _CHUNKS)}), d2 AS ({_dense_sql(20, CONTEXT)}), {_fuse_sql([('bm25', 'b1', 1.0), ('dense', 'd1', 1.0), ('symbol', 's1', 1.0)], 'pri')},
+seeds AS (SELECT id FROM pri WHERE rank <= 20), sn AS (SELECT DISTINCT v.id FROM v SEMI JOIN seeds ON v.chunk_id = seeds.id), en AS (SELECT dst AS id FROM e SEMI JOIN sn ON e.src = sn.id UNION ALL SELECT src FROM e SEMI JOIN sn ON e.dst = sn.id),
+ec AS (SELECT DISTINCT chunk_id AS id FROM v SEMI JOIN en USING (id) WHERE chunk_id IN (SELECT id FROM cc WHERE lang IN {_in(RETRIEVABLE)})), ex AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM ec QUALIFY rank <= greatest(1, 3 * (SELECT count(*) FROM seeds))),
+{_ppr_sql()}, {_fuse_sql([('bm25', 'b1', 1.0), ('dense', 'd1', 1.0), ('symbol', 's1', 1.0), ('bm25-context', 'b2', 0.3), ('dense-context', 'd2', 0.3), ('graph', 'ex', 1.0), ('ppr', 'ppr', 1.0)], 'fin')}
+SELECT CAST(row_number() OVER (ORDER BY o DESC, rank) AS INT) AS rank, id AS chunk_id, file_path, kind, name, start_line, end_line, CAST(o AS DOUBLE) AS score, sources AS why, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS preview
+FROM (SELECT fin.*, {_OVER} AS o, cc.file_path, cc.kind, cc.name, cc.start_line, cc.end_line, cc.content FROM fin JOIN cc USING (id))"""
+)
+def full_lane(spark: SparkSession, d: str) -> DataFrame:
+    i, g = Index(spark, d, "chunks"), Index(spark, d, "graph")
+    chunks, vectors = i.read("chunks"), i.read("vectors")
+    like = list(vectors.orderBy("content_hash", "id").select("embedding").first()[0])  # the query vector is that of one chunk
+    allowed = chunks.filter(F.col("category").isin(RETRIEVABLE)).select("id")
+    dense = lambda k, cats: vector.knn_overfetch(vectors, like, k, F.col("category").isin(cats), id_col="id")
+    primary = [("bm25", i.bm25(_QUERY, 50, PRIMARY)), ("dense", dense(50, PRIMARY)), ("symbol", lexical.symbol_search(_named(g, "cache"), "cache", 50, allowed))]
+    context = [("bm25-context", i.bm25(_QUERY, 20, CONTEXT)), ("dense-context", dense(20, CONTEXT))]
+    nodes = g.read("nodes")
+    adj, edges = g.adjacency(), g.read("out").select("src", "dst", "kind", "weight")
+    best = fusion.full_lane(
+        primary, context, lambda seeds: graph.expand(seeds, nodes, adj, allowed=allowed), lambda w: graph.personalised(nodes, edges, w), lambda fused: fusion.rerank(fused, chunks.select("id", "content"), _QUERY, "content")
+    )
+    return fusion.assemble_results(best, chunks)
 
 
 _COS = "round(CASE WHEN n > 0 AND qn > 0 THEN dot / (n * qn) ELSE 0 END, 9)"

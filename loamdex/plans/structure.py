@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.operators import chunking, code, flowq, fusion, graph, lexical
-from loamdex.sources.files import assemble
+from loamdex.operators import chunking, code, flowq, graph, relate
+from loamdex.plans.indexes import Index, files
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -41,8 +41,8 @@ c AS (SELECT chunk_id AS id, 1.0::DOUBLE AS score FROM v SEMI JOIN u USING (id)
 SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank FROM c QUALIFY rank <= 150"""
 )
 def graph_expand(spark: SparkSession, d: str) -> DataFrame:
-    n = _t(spark, d, "nodes")
-    return graph.expand(spark.range(10, 61), n, graph.containment_edges(n), limit=150)
+    g = Index(spark, d, "graph")
+    return graph.expand(spark.range(10, 61), g.read("nodes"), g.adjacency(), limit=150)
 
 
 def _power_sql(steps: int, prior: str, final: str) -> str:
@@ -89,14 +89,14 @@ def pagerank_top(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_E} SELECT DISTINCT v.id, name, kind, pagerank FROM v JOIN e ON v.id = e.src WHERE e.dst = 40 AND kind <> 'block'")
 def callers(spark: SparkSession, d: str) -> DataFrame:
-    n = _t(spark, d, "nodes")
-    return graph.adjacent(n, graph.containment_edges(n), 40, True, ["contains"])
+    g = Index(spark, d, "graph")
+    return graph.adjacent(g.read("nodes"), g.adjacency(), 40, True, ["contains"])
 
 
 @query(f"WITH {_E} SELECT DISTINCT v.id, name, kind, pagerank FROM v JOIN e ON v.id = e.dst WHERE e.src = 1 AND kind <> 'block' ORDER BY pagerank DESC, name, id LIMIT 20")
 def callees(spark: SparkSession, d: str) -> DataFrame:
-    n = _t(spark, d, "nodes")
-    return graph.adjacent(n, graph.containment_edges(n), 1, False, ["contains"])
+    g = Index(spark, d, "graph")
+    return graph.adjacent(g.read("nodes"), g.adjacency(), 1, False, ["contains"])
 
 
 @query(
@@ -104,8 +104,8 @@ def callees(spark: SparkSession, d: str) -> DataFrame:
 m AS (SELECT id, min(distance) AS distance FROM h WHERE id <> 4 GROUP BY id) SELECT id, name, distance, pagerank FROM (SELECT DISTINCT v.id, name, distance, pagerank FROM m JOIN v USING (id) WHERE kind <> 'block') ORDER BY pagerank DESC, name, id LIMIT 20"""
 )
 def neighbors_2hop(spark: SparkSession, d: str) -> DataFrame:
-    n = _t(spark, d, "nodes")
-    return graph.neighbors(n, graph.containment_edges(n), 4)
+    g = Index(spark, d, "graph")
+    return graph.neighbors(g.read("nodes"), g.adjacency(), 4)
 
 
 @query(
@@ -113,7 +113,7 @@ def neighbors_2hop(spark: SparkSession, d: str) -> DataFrame:
 b AS (SELECT path FROM w WHERE id = 4 ORDER BY len(path), path LIMIT 1) SELECT CAST(i - 1 AS INT) AS path_index, path[i] AS id FROM b, unnest(range(1, len(path) + 1)) AS u(i)"""
 )
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    return graph.shortest_path(graph.containment_edges(_t(spark, d, "nodes")), 1, 4)
+    return graph.shortest_path(Index(spark, d, "graph").adjacency(), 1, 4)
 
 
 @query(
@@ -121,7 +121,7 @@ def shortest_path(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, min(depth) AS depth FROM w GROUP BY id"""
 )
 def inheritance_chain(spark: SparkSession, d: str) -> DataFrame:
-    return graph.inheritance_chain(graph.containment_edges(_t(spark, d, "nodes")), 2, "contains")
+    return graph.inheritance_chain(Index(spark, d, "graph").adjacency(), 2, "contains")
 
 
 @query("SELECT id, name, kind FROM (SELECT DISTINCT id, name, kind, pagerank FROM nodes WHERE kind <> 'block' AND name ILIKE '%/core') ORDER BY pagerank DESC, name, id LIMIT 1")
@@ -149,24 +149,9 @@ def concept_by_label(spark: SparkSession, d: str) -> DataFrame:
     return m.orderBy(F.desc_nulls_last("membership"), F.desc_nulls_last("size"), "cluster_id", "chunk_id").limit(50).select("chunk_id", "cluster_id", "membership", "size")
 
 
-@query()
-def full_lane(spark: SparkSession, d: str) -> DataFrame:
-    n, c = _t(spark, d, "nodes"), _t(spark, d, "chunks").select("id", "content", "category").distinct()
-    e = graph.containment_edges(n)
-    kept = F.lower("category").isin("source", "config")
-    primary = [("bm25", lexical.bm25(c, "header parser cache", 50, "id", "content", kept)), ("symbol", lexical.symbol_search(n, "core", 50))]
-    context = [("bm25-context", lexical.bm25(c, "header parser cache", 20, "id", "content", F.lower("category").isin("test", "docs")))]
-    ppr = lambda seeds: graph.personalised(n, e, seeds.withColumn("weight", F.lit(1.0)))
-    return fusion.full_lane(primary, context, lambda seeds: graph.expand(seeds, n, e), ppr)
-
-
-def _files(spark: SparkSession, d: str) -> DataFrame:
-    return assemble(_t(spark, d, "chunks")).select(F.concat_ws("/", "repo", "file_path").alias("path"), "text")
-
-
 @query()
 def chunk_files(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_files(_files(spark, d))
+    return chunking.chunk_files(files(spark, d))
 
 
 @query()
@@ -175,26 +160,61 @@ def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_files(docs).select("path", "start_line", "end_line", "start_byte", "end_byte", "content_hash")
 
 
+_FILES = "f AS (SELECT repo || '/' || file_path AS path, replace(replace(string_agg(content, '' ORDER BY start_byte), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM (SELECT DISTINCT repo, file_path, start_byte, content FROM chunks WHERE repo IS NOT NULL AND file_path IS NOT NULL AND content IS NOT NULL AND start_byte IS NOT NULL) GROUP BY repo, file_path)"
+
+
+@query(f"WITH {_FILES} SELECT path, sha256(text) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, true AS tiles FROM f WHERE text <> ''")
+def chunk_tiling(spark: SparkSession, d: str) -> DataFrame:
+    """What the chunks of each file make up: its text, without gaps or overlaps."""
+    c = chunking.chunk_files(files(spark, d))
+    one = c.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_byte", "end_byte", "content"))).alias("c"))  # the chunks of one file
+    text = F.array_join(F.transform("c", lambda x: x["content"]), "")
+    whole = F.forall(F.sequence(F.lit(1), F.size("c")), lambda i: F.element_at("c", i)["start_byte"] == F.when(i == 1, F.lit(0).cast("long")).otherwise(F.element_at("c", F.greatest(i - 1, F.lit(1)))["end_byte"]))
+    return one.select("path", F.sha2(F.encode(text, "UTF-8"), 256).alias("digest"), F.element_at("c", -1)["end_byte"].alias("bytes"), whole.alias("tiles"))
+
+
+@query(f"WITH {_FILES} SELECT path, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM f")
+def code_files(spark: SparkSession, d: str) -> DataFrame:
+    """The file nodes of the code index with the number of their lines."""
+    return Index(spark, d, "code").read("nodes").filter("kind = 'file'").select(F.col("name").alias("path"), F.col("end_line").cast("long").alias("n_lines"))
+
+
+# Top-level Go functions stand at the start of a line: what SQL can find of the symbols, in files whose brackets
+# are as many on both sides; others may not parse.
+@query(
+    rf"""WITH {_FILES}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line FROM f WHERE ends_with(lower(path), '.go') AND length(replace(text, '{{', '')) = length(replace(text, '}}', '')) AND length(replace(text, '(', '')) = length(replace(text, ')', ''))), g AS (SELECT path, regexp_extract(line, '^func ([A-Za-z_][A-Za-z0-9_]*)[(\[]', 1) AS name FROM l)
+SELECT path, name, count(*) AS n FROM g WHERE name <> '' GROUP BY ALL"""
+)
+def go_functions(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda c: F.length(F.replace("text", F.lit(c)))
+    even = files(spark, d).filter(F.endswith(F.lower("path"), F.lit(".go")) & (n("{") == n("}")) & (n("(") == n(")")))
+    nodes = code.nodes_of(code.tagged(even))
+    return nodes.filter("kind = 'function'").groupBy(F.col("file_path").alias("path"), F.col("short_name").alias("name")).agg(F.count("*").alias("n"))
+
+
 @query()
 def code_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return code.extract(_files(spark, d))[0]
+    return Index(spark, d, "code").read("nodes").filter("kind <> 'block'")
 
 
 @query()
 def code_edges(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = code.extract(_files(spark, d))
-    named = nodes.select("kind", "name", "short_name", "file_path").distinct().withColumn("id", F.xxhash64("name", "kind"))
-    return graph.resolve_edges(edges, named)
+    return Index(spark, d, "code").read("out")
+
+
+@query()
+def code_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return Index(spark, d, "code").read("warnings")
 
 
 @query()
 def flow_edges(spark: SparkSession, d: str) -> DataFrame:
-    edges = code.extract(_files(spark, d), "flow")[1]
+    edges = Index(spark, d, "code").read("flow")
     return code.aggregate_edges(edges).select("src_name", "dst_name", "kind", "weight", F.size("items").alias("n_items"))
 
 
 def _flow(spark: SparkSession, d: str) -> DataFrame:
-    return flowq.typed(code.extract(_files(spark, d), "flow")[1])
+    return flowq.typed(Index(spark, d, "code").read("flow"))
 
 
 @query()
@@ -214,4 +234,23 @@ def paths_through(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def conditions_for(spark: SparkSession, d: str) -> DataFrame:
-    return flowq.conditions_for(_flow(spark, d))
+    return flowq.conditions_for(_flow(spark, d), "limits")
+
+
+@query()
+def flow_ends(spark: SparkSession, d: str) -> DataFrame:
+    return flowq.ends(Index(spark, d, "code").read("blocks"), _flow(spark, d))
+
+
+@query()
+def relate_verbs(spark: SparkSession, d: str) -> DataFrame:
+    """Every verb asked once about the function that is called most: (verb, n, warnings)."""
+    i = Index(spark, d, "code")
+    called = i.read("into").filter("kind = 'calls'").groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(1)
+    name = i.read("nodes").join(called, F.col("id") == F.col("dst")).select("name").first()
+    name = name[0] if name else "main"
+    rows = []
+    for verb in ("callers", "callees", "neighbors", "inheritance-chain", "pagerank-top", "shortest-path", "paths-through", "reaching-definitions", "reachable-uses", "conditions-for", "graph", "flow", "who"):
+        got = relate.run(i, verb, name, name if verb == "shortest-path" else None).envelope("r")
+        rows.append((verb, len(got["results"]), got["warnings"]))
+    return spark.createDataFrame(rows, "verb string, n int, warnings array<string>")

@@ -97,6 +97,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, str] = {}
+        _open.setdefault(spark.sparkContext.applicationId, []).append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return the table read back; its lineage starts at the written files."""
@@ -113,5 +114,37 @@ class Scratch:
         for df in dfs:
             path = self.paths.pop(id(df), None) if df is not None else None
             if path:
-                hp = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                hp.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hp, True)
+                self._delete(path)
+
+    def close(self) -> None:
+        """Delete all that is left of this scratch."""
+        self.paths.clear()
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        hp = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hp.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hp, True)
+
+
+def close_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables of all queries so far of this session, once their results have been written; returns
+    how many scratches there were. Results that are still to be computed read them, so a query can't do it itself."""
+    n = 0
+    for s in _open.pop(spark.sparkContext.applicationId, []):
+        s.close()
+        n += 1
+    return n
+
+
+_open: dict[str, list[Scratch]] = {}
+
+
+@atexit.register
+def _sweep() -> None:
+    """At the end of the program what is left goes, if the session still answers."""
+    for many in list(_open.values()):
+        for s in many:
+            try:
+                s.close()
+            except Exception:  # noqa: BLE001 the session may be gone
+                return
