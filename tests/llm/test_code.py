@@ -71,15 +71,97 @@ def edit(a, b):
 
 def test_cheapest_edit_equals_brute_force():
     rng = random.Random(2)
-    words = ["", "ab", "abab", "ababab", "c", "cab", "cabab"]  # the language c?(ab)*, long enough for the inputs
+    words = ["", "ab", "abab", "ababab", "abababab", "c", "cab", "cabab", "cababab"]  # the language c?(ab)*, long enough for the inputs
     auto = S.Automaton("c?(?:ab)*")
     for _ in range(80):
         w = "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
         want = min(edit(w, x) for x in words)
-        if want:
-            assert auto.cost(w) == min(want, 4), w
-    for s, want in (("()", 0), ("(", 1), ("(]", 1), (")(", 2), ("([)]", 2), ("((", 1), ("{(}", 1)):
-        assert S.bracket_cost(s) == want, s
+        at = auto.edits(w)
+        assert len(at) == want and at == sorted(at) and all(0 <= i <= len(w) for i in at), w
+    assert auto.edits("ab" * 700 + "ba" + "ab" * 700) == [1400, 1401] and len(auto.edits("b" * 3000)) == 1500  # long spans, no limit of edits
+    assert auto.edits("ababa") in ([4], [5]) and auto.edits("cxab") == [1]
+
+
+def residue(s):
+    out = []
+    for c in s:
+        if out and c in S._PAIRS and S._PAIRS[c] == out[-1]:
+            out.pop()
+        else:
+            out.append(c)
+    return "".join(out)
+
+
+def test_bracket_repairs_equal_brute_force():
+    balanced, new = {""}, {""}
+    for _ in range(4):
+        new = {x[:i] + p + x[i:] for x in new for i in range(len(x) + 1) for p in ("()", "[]", "{}")}
+        balanced |= new
+    rng = random.Random(3)
+    for _ in range(60):
+        w = residue("".join(rng.choice("()[]{}") for _ in range(rng.randint(1, 4))))
+        want = min(edit(w, x) for x in balanced if abs(len(x) - len(w)) <= 4)
+        assert len(S.bracket_edits(w)) == want, w
+    assert len(S.bracket_edits("(" * 9001)) == 4501 and len(S.bracket_edits(")" * 3 + "[" * 4)) == 4
+
+
+# Valid pieces of each language that a grammar gets wrong easily, and damaged ones.
+VALID = {
+    "js": [
+        "if (a) b()\nelse c()", "async function* g() { yield* h() }", "const t = `a${`b${c}`}`;", "class A { static { x = 1; } #p = 1; get y() { return this.#p } static async *z() {} }", "a?.b?.[c]?.(d)",
+        "for await (const x of y) z(x);", "x = a ? b ? c : d : e", "let r = a ||\n  /['`]/.test(b)", "a()\n!b && c()", "while (1) try { a() } catch { }", "a.delete\nb.default = c", "#!/bin/x\na()", "label: for (;;) { continue label }",
+        "({a, b: c, [d]: e, get f() { return 1 }, async g() {}, ...h})", "import a, {b as c} from 'm'\nexport * as ns from \"m\";",
+    ],
+    "ts": [
+        'declare module "x" { export function f(a: string): void; }', "function f(val: any): asserts val is string {}", "type C = new (a: string) => Foo;", "const x = <any>y;", "type U<T> = T extends (infer R)[] ? R : never;", "export = foo;",
+        "type T = [a: string, b?: number, ...rest: string[]];", "declare const s: unique symbol;", "declare global { interface Window { a: string } }", "interface I extends J<K>, L { readonly a?: string; [k: string]: any; new (x: number): I; m<T>(a: T): void }",
+        "type M = { readonly [K in keyof T]?: T[K] };", "@Comp({a: 1}) class X { @Input() y: string; }", "function o(a: string): void;\nfunction o(a: any) {}",
+    ],
+    "java": [
+        '@interface A { String value() default "x"; int[] n() default {}; }', "record P(int x, int y) { P { if (x < 0) throw new X(); } }", "class A { int f(Object o) { return switch (o) { case Integer i -> i; case String s when s.isEmpty() -> 0; default -> { yield 1; } }; } }",
+        "enum E { A(1) { void f() {} }, B(2); E(int x) { this.x = x; } }", "class A { void f() { try (var x = g(); var y = h()) { } catch (A | B e) { } } }", "class A { Map<String, List<int[]>> m = new HashMap<>(); Supplier<A> s = A::new; }",
+    ],
+    "c": [
+        "#ifdef A\nint f(void) {\n#else\nint g(void) {\n#endif\n return 1; }", "int f(a, b) int a; char *b; { return a; }", "__attribute__((unused)) static int x;", "static int f(void) __attribute__((noinline));", 'extern "C" { int f(void); }',
+        "void f(void) { switch (x) { case 1 ... 3: a(); break; default: b(); } }", "int (*f(int x))(void) { return 0; }", "struct s { int a : 3; union { int b; } u; };", "#if 0\nint ( {\n#endif\nint a[] = { [0] = 1, [2] = 3 };",
+    ],
+    "go": ["package a\nfunc f[T any](x T) (T, error) { return x, nil }", "package a\ntype I interface { M(int) (string, error); ~int | ~string; J }", "package a\nfunc f() { select { case v, ok := <-ch: g(v); default: } }", "package a\nfunc f() { L: for i := range 10 { break L } }"],
+    "py": [
+        "if x := f(): pass", "match a:\n  case [1, *r] if r: pass\n  case {'x': y, **z}: pass\n  case A(b=1) | B(): pass\n", "f\"{x!r:>{w}}\" f'{a['b']}'", "type A[T] = list[T]", "try: pass\nexcept* E as e: pass\n", "def f(a, /, b, *, c: int = 1) -> None: ...",
+        "with (a as b, c as d): pass", "x = lambda *a, b=1, **k: (a, b)", "if a: b; c\nelse: d", "async def f():\n  async for x in y: await z\n",
+    ],
+}
+DAMAGED = {
+    "js": ["let b = = 2;", "f(", "if a) b()", "x = ;", "a b", "return }"], "ts": ["let x: = 1;", "interface { }", "type X = ;"], "java": ["class A { int x = ; }", "class { }", "class A { int f() { return 1 } }"],
+    "c": ["int x = ;", "int f( { }", "void f(void) { return 1 }", "struct s { int a }"], "go": ["package a\nfunc f( { }", "func f() {}"], "py": ["def f(:\n pass", "x = = 1", "if x\n  pass", "f(a b)"],
+    "json": ['{"a": }', "[1,]", "{a: 1}", "01", "{'a': 1}", ""],
+}
+
+
+def test_what_the_chart_accepts():
+    for lang, many in VALID.items():
+        for text in many:
+            assert S.parser(lang).parse(text)[1] == [], (lang, text)
+    for lang, many in DAMAGED.items():
+        for text in many:
+            assert S.check(text, lang)[0] > 0, (lang, text)
+
+
+def test_causes_come_from_where_the_edits_lie():
+    body = "".join(f"let v{i} = f{i}(1, 2);\n" for i in range(40))
+    assert S.check(body.replace("v20 =", "v20 = ="), "js") == (1, "local")
+    assert S.check(body + "function g() {\n  if (a) {\n    b(", "js")[1] == "truncation"
+    assert S.check(body + "<<<<<<< HEAD\na()\n=======\nb()\n>>>>>>> x\n" + body, "js")[1] == "conflict"
+    assert S.check(GOOD["py"], "js")[1] == "mismatch" and S.check(GOOD["go"], "java")[1] == "mismatch"
+    assert S.check(body + "// <<<<<<< HEAD\n", "js") == (0, None)
+    for text in (body + "x = = 1;\n" + body, "a(\n" * 3 + body, body.replace("f9(", "f9(,")):
+        s, at = S.parser("js").parse(text)
+        assert len(S.parser("js").lines(text)) == len(s) and all(0 <= e <= len(s) for e in at)
+
+
+def test_deep_nesting_is_one_pass():
+    assert S.parser("js").parse("(" * 100_000 + "a" + ")" * 100_000)[1] == []
+    assert len(S.parser("js").parse("[" * 50_000)[1]) >= 25_000
 
 
 def rows(files, extra=()):
