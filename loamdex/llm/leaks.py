@@ -1,10 +1,14 @@
 """Evaluation items leaking into training documents.
 
 Items are partitioned by size; of each item the ``sketch`` smallest hashes of its word shingles are its
-MinHash sketch, larger for larger size classes. What share of the sketch a document holds estimates the
-containment of the item in the document without regard to the document's length. Pairs whose estimate allows
-the wanted containment are verified on exact shingles: every run of shared shingles is extended along its
-diagonal over single changed words, runs are chained in the order of the item, and the words they span count.
+MinHash sketch: items of the lower size classes are sketched whole, larger ones by ever smaller shares. What share
+of the sketch a document holds estimates the containment of the item in the document without regard to the
+document's length. Pairs whose estimate allows the wanted containment are verified on exact shingles: every run of
+shared shingles is extended along its diagonal over single changed words; runs with a few words more or less
+between them are one passage; passages are chained in the order of the item, and the words they span count.
+
+Shingles have three words: single changed words don't matter here, and where every fifth word is changed no five
+words in a row are left.
 
 Documents are only read and never shuffled. Items are held by every task, so they are handled in blocks of a
 fixed number of words (``words_per_block``), one pass over the documents each.
@@ -24,9 +28,13 @@ from pyspark.sql import functions as F
 
 from loamdex.session import spread
 
-SHINGLE = 5
+SHINGLE = 3
+#: Words of a passage at least, and words that may come in or be left out between two runs of one passage.
+PASSAGE, GAP = 8, 3
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|.)", re.S)
 _WORDS = re.compile(r"[^\W_]+")
+#: What may stand before a line: marks of quotes, comments, lists and tables, and a number.
+_PREFIX = re.compile(r"^[^\w\n]*\d{1,6}(?:[.:)\]|>#-]+[ \t]*|[ \t]+|\t)(?=\S)", re.M)
 _SENTENCE = re.compile(r"[^.!?:]*[.!?:]+(?=\s)")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,6 +51,7 @@ def words(text: str) -> list[str]:
         text = _ESCAPE.sub(_unescape, text)
     if "&" in text:
         text = html.unescape(text)
+    text = _PREFIX.sub("", text)
     return _WORDS.findall(text.casefold())
 
 
@@ -81,19 +90,22 @@ class Items:
         self.vocab: dict[str, int] = {}
         self.words = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in t], dtype=np.int64) for t in texts]
         self.shingles = [_shingles(w) for w in self.words]
-        hashes, owner, size = [], [], []
+        hashes, owner, place, size = [], [], [], []
         for i, s in enumerate(self.shingles):
             # Size classes by powers of two: small items are sketched whole, larger ones by ever smaller shares.
             u = np.unique(s)
             room = sketch if len(u) <= 2 * sketch else int(sketch * np.log2(len(u) / sketch))
             u = u[:room]
-            hashes.append(u)
-            owner.append(np.full(len(u), i))
+            at = np.flatnonzero(np.isin(s, u))  # with every place where the item has them
+            hashes.append(s[at])
+            owner.append(np.full(len(at), i))
+            place.append(at)
             size.append(len(u))
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         o = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+        p = np.concatenate(place) if place else np.zeros(0, np.int64)
         order = np.argsort(h, kind="stable")
-        self.h, self.owner, self.size = h[order], o[order], np.array(size)
+        self.h, self.owner, self.place, self.size = h[order], o[order], p[order], np.array(size)
 
 
 def spans(item: np.ndarray, item_sh: np.ndarray, doc: np.ndarray, doc_sh: np.ndarray, drop: float = 4.0, miss: float = 1.5) -> list[tuple[int, int, int, int]]:
@@ -130,27 +142,51 @@ def spans(item: np.ndarray, item_sh: np.ndarray, doc: np.ndarray, doc_sh: np.nda
     return out
 
 
-def share(item: np.ndarray, found: list[tuple[int, int, int, int]], least: int = 8) -> float:
-    """Share of the item's words that the best chain of runs of ``least`` words or more spans, in order."""
-    runs = sorted((s for s in found if s[1] - s[0] >= min(least, len(item))), key=lambda s: (s[3], s[1]))
-    best: list[float] = []
-    for k, (a, b, c, d) in enumerate(runs):
-        top = b - a
-        for m in range(k):
-            a2, b2, c2, d2 = runs[m]
-            cut = max(0, b2 - a, d2 - c)  # overlapping ends count once
-            if a2 < a and c2 < c and cut < b - a:
-                top = max(top, best[m] + b - a - cut)
-        best.append(top)
-    return max(best, default=0.0) / len(item) if len(item) else 0.0
+def passages(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Runs that follow each other with at most GAP words between them on both sides, as one span each."""
+    out: list[list[int]] = []
+    recent: list[list[int]] = []
+    for a, b, c, d in sorted(runs, key=lambda r: (r[2], r[0])):
+        recent = [p for p in recent if c - p[3] <= GAP]
+        into = None
+        for p in recent:
+            # A run may begin inside the passage, as far as both sides agree about it.
+            if p[0] < a and p[1] < b and p[3] < d and a - p[1] <= GAP and p[1] - a < b - a and p[3] - c < d - c and (into is None or p[1] > into[1]):
+                into = p
+        if into is None:
+            into = [a, b, c, d]
+            out.append(into)
+            recent.append(into)
+        else:
+            into[1], into[3] = b, d
+    return [(p[0], p[1], p[2], p[3]) for p in out]
+
+
+def share(item: np.ndarray, found: list[tuple[int, int, int, int]], least: int = PASSAGE) -> float:
+    """Share of the item's words that the best chain of passages of ``least`` words or more spans, in order. Of
+    passages that overlap in the item or in the document the common words count once."""
+    n = len(item)
+    if not n:
+        return 0.0
+    long = sorted((p for p in passages(found) if p[1] - p[0] >= min(least, n)), key=lambda p: (p[3], p[1]))
+    if not long:
+        return 0.0
+    # Of the chains that end at each word of the item the best, and where in the document it ends.
+    best, ends, at = np.zeros(n + 1), np.full(n + 1, -1), np.arange(n + 1)
+    for a, b, c, d in long:
+        got = best[:b] + (b - a) - np.maximum(0, np.maximum(at[:b] - a, ends[:b] - c))
+        top = max(float(got.max()), float(b - a))
+        if top > best[b]:
+            best[b], ends[b] = top, d
+    return float(best.max()) / n
 
 
 def leaks(
-    docs: DataFrame, items: DataFrame, least_share: float = 0.30, sketch: int = 128, estimate: float = 0.03, words_per_block: int = 2_000_000
+    docs: DataFrame, items: DataFrame, least_share: float = 0.30, sketch: int = 512, estimate: float = 0.08, words_per_block: int = 2_000_000
 ) -> DataFrame:
     """(doc_id, item_id, share): documents with copied passages of at least ``least_share`` of an item's words.
 
-    An item of fewer than five words has no shingle and can't leak. Null texts, ids and empty tables give no rows;
+    An item of fewer than three words has no shingle and can't leak. Null texts, ids and empty tables give no rows;
     repeated rows of either table count once. Whole texts are read whatever their length."""
     spark = docs.sparkSession
     size = F.size(F.split("item_text", r"\s+"))
@@ -189,12 +225,25 @@ def _scan(sent, least_share: float, estimate: float):  # noqa: ANN001, ANN202
             at = np.repeat(np.arange(len(sh)), cnt)
             if not len(at):
                 continue
-            own = it.owner[np.repeat(lo, cnt) + np.arange(len(at)) - np.repeat(np.cumsum(cnt) - cnt, cnt)]
-            doc = np.searchsorted(starts, at, "right") - 1
+            row = np.repeat(lo, cnt) + np.arange(len(at)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+            own, doc = it.owner[row], np.searchsorted(starts, at, "right") - 1
+            # Members of a copied passage follow each other on about one diagonal; what stands alone is chance.
+            key = doc * len(it.ids) + own  # hits are in order of place in the document, and stay so
+            order = np.argsort(key, kind="stable")
+            at, key, place = at[order], key[order], it.place[row][order]
+            linked = np.zeros(len(at), dtype=bool)
+            for k in (1, 2, 3):
+                near = (key[k:] == key[:-k]) & (at[k:] - at[:-k] <= PASSAGE) & (np.abs((at[k:] - place[k:]) - (at[:-k] - place[:-k])) <= GAP)
+                linked[k:] |= near
+                linked[:-k] |= near
+            if not linked.any():
+                continue
             # Distinct sketch members held: a shingle repeated in the document counts once.
-            hit = np.unique(np.stack([doc, own, lo[at]], axis=1), axis=0)
-            pair, held = np.unique(hit[:, :2], axis=0, return_counts=True)
-            good = held >= np.maximum(1, np.ceil(estimate * it.size[pair[:, 1]]))
+            span = int(it.place.max(initial=0)) + 1
+            hit = np.unique(key[linked] * span + place[linked]) // span
+            pair, held = np.unique(hit, return_counts=True)
+            pair = np.stack([pair // len(it.ids), pair % len(it.ids)], axis=1)
+            good = held >= np.maximum(np.minimum(2, it.size[pair[:, 1]]), np.ceil(estimate * it.size[pair[:, 1]]))
             for d, i in pair[good].tolist():
                 s, e = starts[d], starts[d + 1] - SHINGLE
                 got = share(it.words[i], spans(it.words[i], it.shingles[i], flat[s:e], sh[s : max(s, e - SHINGLE + 1)]))

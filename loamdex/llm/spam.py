@@ -3,8 +3,9 @@
 Each page becomes a sequence of words, links and code marks. A suffix automaton over that sequence finds for
 every position the longest run ending there that occurs at least ``often`` times in the page; the characters
 covered by such maximal repeats are the page's repetition. The page is also split into clauses, and a clause
-needs the small words (articles, pronouns, prepositions, auxiliaries) that sentences of any of the languages
-have. A word is *said* if its clause has that structure and isn't mostly repeats; links and words of clauses
+needs structure: small words (articles, pronouns, prepositions, auxiliaries) of four languages, or, in any other,
+enough different short words in stretches between commas that are longer than a keyword or a name; in scripts
+that write no spaces, a stretch of some length. A word is *said* if its clause has that structure and isn't mostly repeats; links and words of clauses
 without it are *listed*; words of program code count as neither, and a line is code by two kinds of signs or
 more, never by one mark. A page is spam if most of its characters are listed, linked or repeated.
 """
@@ -12,6 +13,7 @@ more, never by one mark. A page is spam if most of its characters are listed, li
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,8 +51,16 @@ SMALL_WORDS = frozenset(f"{_EN} {_DE} {_FR} {_ES}".split())
 #: A bare link counts as this many characters, about two words, however long its address is.
 LINK_CHARS = 12
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\(\s*[^)\s]*\s*\)|<?(?:https?://|www\.)[^\s<>\"')\]]+>?", re.I)
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|_+")
-_CLAUSE = re.compile(r"(?<=[.!?…])\s+|[;\n\r|]+|\s[-–—»•*]\s|:\s")
+#: Scripts without spaces between words (Thai, Lao, Burmese, Khmer, kana and Chinese characters); each
+#: of their characters is a word by itself.
+_SPACELESS = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORD = re.compile(rf"[{_SPACELESS}]|(?:(?![{_SPACELESS}])[^\W\d_])+(?:['’][^\W\d_]+)?|\d+|_+")
+_ALONE = re.compile(rf"[{_SPACELESS}]")
+#: A clause has structure with SMALL of its words being small, or of FEW words and more with SMALL of them different
+#: words of up to SHORT_LETTERS letters and STRETCH words between commas, or of RUN characters of a script without spaces.
+SMALL, FEW, SHORT_LETTERS, STRETCH, RUN = 0.12, 5, 3, 4, 8
+_CLAUSE = re.compile(r"(?<=[.!?…])\s+|[。！？]+|[;\n\r|]+|\s[-–—»•*]\s|:\s")
+_COMMA = re.compile(r"[,،、，]")
 _KEYWORD = r"\s*(?:export|import|from|package|return|const|let|var|def|class|func|function|if|else|elif|for|while|try|except|finally|static|public|private|async|raise|throw|void|int)\b"
 #: Kinds of signs of program code. Two kinds are needed, so no sign does alone. Those at the start of a line, and
 #: those anywhere, each with characters of which a line has one if it has the sign.
@@ -140,25 +150,50 @@ class Automaton:
 
 
 def covered(seq: list[int], often: int, least: int) -> list[bool]:
-    """Positions covered by maximal repeats of ``least`` items or more that occur ``often`` times or more."""
+    """Positions covered by maximal repeats of ``least`` items or more that occur ``often`` times or more.
+
+    With ``least`` of two or more, what lies in no pair that occurs so often lies in no such repeat; each stretch of
+    it becomes one item of its own, so the automaton of a page without repeats is small."""
     if len(seq) < often:
         return [False] * len(seq)
-    runs = Automaton(seq).repeats(seq, often)
-    out, reach = [False] * len(seq), len(seq)
-    for i in range(len(seq) - 1, -1, -1):
-        if runs[i] >= least:
-            reach = min(reach, i - runs[i] + 1)
-        out[i] = i >= reach
-        if i <= reach:
-            reach = len(seq)
+    where = list(range(len(seq)))
+    if least >= 2:
+        pairs = Counter(zip(seq, seq[1:]))
+        hot = [False] * len(seq)
+        for i, p in enumerate(zip(seq, seq[1:])):
+            if pairs[p] >= often:
+                hot[i] = hot[i + 1] = True
+        where = [i for i in range(len(seq)) if hot[i] or i and hot[i - 1]]
+        if not where:
+            return hot
+    own = [seq[i] if least < 2 or hot[i] else -1 - i for i in where]
+    runs = Automaton(own).repeats(own, often)
+    out, reach = [False] * len(seq), len(own)
+    for k in range(len(own) - 1, -1, -1):
+        if runs[k] >= least:
+            reach = min(reach, k - runs[k] + 1)
+        out[where[k]] = k >= reach
+        if k <= reach:
+            reach = len(own)
     return out
 
 
+def structured(words: list[str], segments: int) -> bool:
+    """Whether a clause of these words, in so many stretches between commas, is built like a sentence."""
+    n = len(words)
+    if sum(w in SMALL_WORDS for w in words) >= SMALL * n and n >= 3:
+        return True
+    if 2 * sum(_ALONE.match(w) is not None for w in words) > n:
+        return n >= RUN * segments
+    short = len({w for w in words if len(w) <= SHORT_LETTERS and w.isalpha()})
+    return n >= FEW and n >= STRETCH * segments and short >= SMALL * n
+
+
 def features(text: str, often: int = 3, least: int = 2) -> tuple[int, int, int, int, int]:
     """Characters of words: (said, listed, repeated, code, link): repeated are those of clauses that repeats cover."""
     vocab: dict[str, int] = {}
     seq: list[int] = []
-    clauses: list[tuple[int, int, int, int]] = []  # first and last position in seq, small words, kind
+    clauses: list[tuple[int, int, bool]] = []  # first and last position in seq, whether it has structure
     sizes: list[int] = []
     code = link = 0
     since = FOLLOW  # lines since one that was code by its own signs
@@ -191,13 +226,13 @@ def features(text: str, often: int = 3, least: int = 2) -> tuple[int, int, int,
             for w in ws:
                 seq.append(vocab.setdefault(w, len(vocab)))
                 sizes.append(len(w))
-            clauses.append((start, len(seq), sum(w in SMALL_WORDS for w in ws), len(ws)))
+            clauses.append((start, len(seq), structured(ws, len(_COMMA.findall(part)) + 1)))
     cover = covered(seq, often, least)
     said = listed = repeated = 0
-    for a, b, small, n in clauses:
+    for a, b, built in clauses:
         chars = sum(sizes[a:b])
         rep = sum(s for s, c in zip(sizes[a:b], cover[a:b]) if c)
-        if n >= 3 and small / n >= 0.12:
+        if built:
             if rep > 0.7 * chars:
                 repeated += chars
             else:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from loamdex.llm import leaks as L
@@ -165,3 +166,76 @@ def test_plan_and_temperature():
     w, budget, x = M.plan(tokens, target, caps, 500)
     assert 0 < x < 1 and all(w[s] * budget <= caps[s] * tokens[s] * 1.000001 for s in tokens)
     assert M.plan({}, target, caps) == ({}, 0.0, 1.0)
+
+
+def found_share(spark, item, text):
+    got = L.leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(2, " ".join(item))], "item_id long, item_text string"), least_share=0.0).collect()
+    return got[0]["share"] if got else 0.0
+
+
+def test_copies_with_line_prefixes_and_changed_words(spark):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(3000)]
+    item, other = [rng.choice(vocab) for _ in range(120)], " ".join(rng.choice(vocab) for _ in range(300))
+    texts = {}
+    for n in range(3, 11):
+        lines = [" ".join(item[i : i + n]) for i in range(0, 120, n)]
+        texts[f"numbers {n}"] = other + "\n" + "\n".join(f"{k}: {x}" for k, x in enumerate(lines, 1))
+        texts[f"quotes {n}"] = "\n".join(f"> {k:>4} | {x}" for k, x in enumerate(lines, 1))
+        texts[f"bare {n}"] = "\n".join(f"{k} {x}" for k, x in enumerate(lines, 1))
+        texts[f"words {n}"] = "\n".join(f"[{k}] abc {x}" for k, x in enumerate(lines, 1)) + other
+    for n in (4, 5, 6):
+        texts[f"every {n}"] = other + " " + " ".join("x" if i % n == n - 1 else w for i, w in enumerate(item))
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(item))], "item_id long, item_text string")
+    got = {r["doc_id"]: r["share"] for r in L.leaks(docs, items).collect()}
+    assert {k: got.get(i, 0) for i, k in enumerate(texts) if got.get(i, 0) < 0.95} == {}
+    part = " ".join(item[40:78])
+    assert 0.30 <= found_share(spark, item, other + " " + part + " " + other) <= 0.34 and found_share(spark, item, other) == 0
+    # Words in another order are no passage, and what is said twice in the document counts once.
+    assert found_share(spark, item, " ".join(sorted(item))) < 0.1
+    assert found_share(spark, item[:60] + item[:60], " ".join(item[:60])) <= 0.51
+
+
+def test_passages():
+    assert L.passages([(0, 5, 10, 15), (7, 12, 16, 21)]) == [(0, 12, 10, 21)]  # two words left out, one put in
+    assert L.passages([(0, 5, 10, 15), (12, 16, 16, 20)]) == [(0, 5, 10, 15), (12, 16, 16, 20)]
+    item = np.arange(40)
+    assert L.share(item, [(0, 5, 0, 5), (20, 25, 6, 11)]) == 0.0  # short runs that don't follow each other
+    assert L.share(item, [(0, 10, 0, 10), (10, 20, 50, 60), (20, 30, 20, 30)]) == 0.5
+
+
+PROSE = {
+    "ru": "Этот сервис читает запись из журнала и отправляет её в очередь. Если очередь полна, он ждёт и пробует ещё раз. Мы проверили это на двух машинах, и всё работало.",
+    "zh": "这个服务从日志中读取记录并发送到队列。如果队列已满,它会等待并重试。我们在两台机器上测试过,一切正常。",
+    "ja": "このサービスはログからレコードを読み取り、キューに送信します。キューがいっぱいの場合は待機して再試行します。",
+    "nl": "Deze dienst leest een record uit het logboek en stuurt het naar de wachtrij. Als de wachtrij vol is, wacht hij en probeert hij het opnieuw.",
+    "pl": "Ta usługa czyta rekord z dziennika i wysyła go do kolejki. Jeśli kolejka jest pełna, czeka i próbuje ponownie. Sprawdziliśmy to na dwóch maszynach.",
+    "tr": "Bu servis günlükten bir kayıt okur ve kuyruğa gönderir. Kuyruk doluysa bekler ve yeniden dener. Bunu iki makinede denedik ve her şey çalıştı.",
+    "fi": "Tämä palvelu lukee tietueen lokista ja lähettää sen jonoon. Jos jono on täynnä, se odottaa ja yrittää uudelleen. Testasimme tämän kahdella koneella.",
+    "ko": "이 서비스는 로그에서 레코드를 읽어 큐로 보냅니다. 큐가 가득 차면 기다렸다가 다시 시도합니다. 두 대의 기계에서 시험했습니다.",
+    "ar": "تقرأ هذه الخدمة السجل من الملف وترسله إلى الطابور. إذا كان الطابور ممتلئا فإنها تنتظر ثم تحاول مرة أخرى.",
+    "it": "Questo servizio legge un record dal registro e lo invia alla coda. Se la coda è piena, aspetta e riprova. Lo abbiamo provato su due macchine.",
+    "commits": "Fix login redirect after timeout\nAdd retries to the uploader\nUpdate docs for cache keys\nRemove dead code in parser\nBump version to 2.1\n",
+}
+LISTS = [
+    "запись журнал, очередь сервис, журнал очередь, машина сервис, запись очередь, кэш журнал, сервис кэш, очередь машина",
+    "记录、队列、日志、服务、机器、缓存、重试、等待、发送、读取、测试、正常",
+    "kuyruk, servis, günlük, kayıt, makine, önbellek, deneme, bekleme, gönderme, okuma, ölçüm, test",
+]
+
+
+def test_prose_of_other_languages_is_no_spam():
+    assert {k: S.score(t)[0] for k, t in PROSE.items() if S.score(t)[0] > 0.3} == {}
+    assert all(S.score(t)[0] > 0.9 for t in LISTS)
+
+
+def test_compressed_automaton_gives_the_same():
+    rng = random.Random(1)
+    for _ in range(300):
+        seq = [rng.randint(0, 5) for _ in range(rng.randint(0, 40))]
+        want = [False] * len(seq)
+        for i, x in enumerate(S.Automaton(seq).repeats(seq, 3)):
+            if x >= 2:
+                want[i - x + 1 : i + 1] = [True] * x
+        assert S.covered(seq, 3, 2) == want
