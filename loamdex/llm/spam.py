@@ -57,8 +57,9 @@ _SPACELESS = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf
 _WORD = re.compile(rf"[{_SPACELESS}]|(?:(?![{_SPACELESS}])[^\W\d_])+(?:['’][^\W\d_]+)?|\d+|_+")
 _ALONE = re.compile(rf"[{_SPACELESS}]")
 #: A clause has structure with SMALL of its words being small, or of FEW words and more with SMALL of them different
-#: words of up to SHORT_LETTERS letters and STRETCH words between commas, or of RUN characters of a script without spaces.
-SMALL, FEW, SHORT_LETTERS, STRETCH, RUN = 0.12, 5, 3, 4, 8
+#: words of up to SHORT_LETTERS letters and STRETCH words between commas, or of RUN characters of a script without
+#: spaces, PAUSE of them between commas.
+SMALL, FEW, SHORT_LETTERS, STRETCH, RUN, PAUSE = 0.12, 5, 3, 4, 8, 5
 _CLAUSE = re.compile(r"(?<=[.!?…])\s+|[。！？]+|[;\n\r|]+|\s[-–—»•*]\s|:\s")
 _COMMA = re.compile(r"[,،、，]")
 _KEYWORD = r"\s*(?:export|import|from|package|return|const|let|var|def|class|func|function|if|else|elif|for|while|try|except|finally|static|public|private|async|raise|throw|void|int)\b"
@@ -184,7 +185,7 @@ def structured(words: list[str], segments: int) -> bool:
     if sum(w in SMALL_WORDS for w in words) >= SMALL * n and n >= 3:
         return True
     if 2 * sum(_ALONE.match(w) is not None for w in words) > n:
-        return n >= RUN * segments
+        return n >= max(RUN, PAUSE * segments)
     short = len({w for w in words if len(w) <= SHORT_LETTERS and w.isalpha()})
     return n >= FEW and n >= STRETCH * segments and short >= SMALL * n
 
