@@ -70,22 +70,22 @@ def tokens(texts: list[str], paths: list[str], symbols: Symbols) -> tuple[np.nda
 BATCH = 1 << 18
 
 
-def repair(seq: np.ndarray, starts: np.ndarray, rounds: int = 40) -> np.ndarray:
+def repair(seq: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Size of every file's grammar (final sequence plus two symbols a rule) under Re-Pair, all files at once.
 
     In each round every file replaces the pairs whose counts are local maxima along its sequence, each by a rule
-    of its own, so pairs that don't overlap are replaced in one round."""
+    of its own, so pairs that don't overlap are replaced in one round, until no pair occurs twice."""
     n_files, out = len(starts) - 1, []
     lo = 0
     while lo < n_files:
         hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + BATCH, "right")) - 1)
         hi = min(hi, n_files)
-        out.append(_repair(seq[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo], rounds))
+        out.append(_repair(seq[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo]))
         lo = hi
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _repair(seq: np.ndarray, starts: np.ndarray, rounds: int) -> np.ndarray:
+def _repair(seq: np.ndarray, starts: np.ndarray) -> np.ndarray:
     n_files = len(starts) - 1
     owner = np.repeat(np.arange(n_files), np.diff(starts))
     # Symbols of different files differ, so a pair belongs to one file and never crosses two.
@@ -93,7 +93,7 @@ def _repair(seq: np.ndarray, starts: np.ndarray, rounds: int) -> np.ndarray:
     _, cur = np.unique(cur * n_files + owner, return_inverse=True)
     cur, fresh = cur.astype(np.int64), int(cur.max(initial=-1)) + 1
     rules = np.zeros(n_files, dtype=np.int64)
-    for _ in range(rounds):
+    while True:
         m = len(cur) - 1
         if m < 1:
             break

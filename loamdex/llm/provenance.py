@@ -1,10 +1,11 @@
 """Files that nobody wrote by hand: generated, minified, data-only and copied from another project.
 
-Evidence comes from Re-Pair grammars over token sequences. A file whose grammar is small against its length
-reuses its rules so much that a program wrote it. A file that consists of literals which the grammar can't
-shorten, or of literals alone, is data. Rules that a locally consistent grammar also derives in other
-repositories, weighted by the tokens they span, make a copy, even one that was reformatted. Notices that such
-files carry by convention, in the comments at a file's head or end, and conventional names count beside it.
+Evidence comes from Re-Pair grammars first. A file whose grammar over tokens is small against its length reuses
+its rules so much that a program wrote it. A file that is mostly literals is data if the grammar over what they
+hold hardly shortens it (a blob) or the grammar over its tokens says that they stand in rows (a table). Rules that
+a locally consistent grammar also derives in other repositories, weighted by the tokens they span, make a copy,
+even one that was reformatted. Only for files about which the grammars say nothing do notices count, in the
+comments before the code begins or after it ends, and conventional names and folders.
 """
 
 from __future__ import annotations
@@ -44,28 +45,57 @@ def extension(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 
 
-def notice(lines: list[str], path: str) -> bool:
-    """A tool's notice among the comments of the first lines, before the code has begun in earnest, or of the last."""
-    if _NAME.search(path):
-        return True
-    tail = [x for x in lines[-6:] if x.strip()][-2:]
-    for x in lines[:8] + tail:
-        if _COMMENT.match(x) and _NOTICE.search(x) and not _NOT.search(x):
-            return True
-    return False
+_BEFORE = re.compile(r"^\s*(?:package\b|import\b|from\b.*\bimport\b|using\b|#include\b|['\"]use strict|$)")
 
 
-def foreign(lines: list[str], repo: str, path: str) -> bool:
-    """A notice of another project at the head, or a folder for other projects' files, without the own one's copyright."""
-    head = lines[:6]
+def around(text: str) -> tuple[list[str], list[str]]:
+    """Comment lines before the code begins (imports and the like don't begin it) and after it has ended, however many."""
+    lines = text.splitlines()
+    head: list[str] = []
+    inside = False
+    for x in lines:
+        if inside or _COMMENT.match(x) or x.lstrip().startswith(('"""', "'''")):
+            head.append(x)
+            opened = "/*" in x and "*/" not in x.split("/*")[-1]
+            inside = (inside or opened) and "*/" not in x.split("/*")[-1]
+        elif not _BEFORE.match(x):
+            break
+    tail: list[str] = []
+    for x in reversed(lines):
+        if _COMMENT.match(x) or x.strip().endswith("*/"):
+            tail.append(x)
+        elif x.strip():
+            break
+    return head, tail
+
+
+def notice(comments: list[str], path: str) -> bool:
+    """A tool's notice among these comments, or a name that tools give."""
+    return _NAME.search(path) is not None or any(_NOTICE.search(x) and not _NOT.search(x) for x in comments)
+
+
+def own_head(head: list[str], repo: str) -> bool:
+    """A copyright of the repository's own organisation."""
     org = repo.split("/")[0].lower()
-    if any("copyright" in x.lower() and org in x.lower() for x in head):
+    return any("copyright" in x.lower() and org in x.lower() for x in head)
+
+
+def foreign(head: list[str], repo: str, path: str) -> bool:
+    """A notice of another project at the head, or a folder for other projects' files, without the own one's copyright."""
+    if own_head(head, repo):
         return False
     if any(m and m[1].lower() not in repo.lower() for m in (_FOREIGN.match(x) for x in head)):
         return True
     return bool(_VENDOR.search(path))
 
 
+#: A grammar over fewer tokens, or over fewer characters of literals, says nothing.
+TOKENS, PAYLOAD = 60, 256
+#: Grammar size by length and its logarithm under which rules are reused as only a program does; share of a file's
+#: characters that literals hold; grammar size by length over which they are near-incompressible.
+REUSED, LITERAL, DENSE = 2.4, 0.6, 0.9
+
+
 def classify(batch: pa.RecordBatch, symbols: G.Symbols) -> pa.RecordBatch:
     repos, paths, texts = (batch.column(i).to_pylist() for i in range(3))
     seq, starts = G.tokens(texts, paths, symbols)
@@ -79,33 +109,42 @@ def classify(batch: pa.RecordBatch, symbols: G.Symbols) -> pa.RecordBatch:
     wide = width >= RULE_TOKENS
     h, width, of = h[wide].view(np.int64), width[wide], of[wide]
     cut = np.searchsorted(of, np.arange(len(n) + 1))
-    why, own = [], []
+    literal = ["".join(_LITERALS.findall(t)).encode("utf-8", "surrogatepass") for t in texts]
+    filled = np.array([len(x) / max(_solid(t), 1) for x, t in zip(literal, texts)])
+    some = np.flatnonzero((filled >= LITERAL) & (np.array([len(x) for x in literal]) >= PAYLOAD))
+    dense = np.zeros(len(n))
+    if len(some):
+        ends = np.concatenate([[0], np.cumsum([len(literal[i]) for i in some])])
+        held = np.frombuffer(b"".join(literal[i] for i in some), dtype=np.uint8).astype(np.int64)
+        dense[some] = G.repair(held, ends) / np.diff(ends)
+    reused = (n >= TOKENS) & (reuse < REUSED)
+    why, own, by = [], [], []
     for i, (repo, path, text) in enumerate(zip(repos, paths, texts)):
         lines = text.splitlines()
-        longest = max(map(len, lines), default=0)
-        org = repo.split("/")[0].lower()
-        own.append(any("copyright" in x.lower() and org in x.lower() for x in lines[:6]))
-        found = None
+        head, tail = around(text)
+        own.append(own_head(head, repo))
         other_language = text.lstrip()[:1] in ("{", "<") and not path.endswith(".c")
-        if notice(lines, path):
-            found = "generated"
-        elif foreign(lines, repo, path):
-            found = "vendored"
-        elif n[i] and names[i] < 0.06 and literals[i] >= 0.3 and len(text) >= 400 and not other_language:
+        found, how = None, "grammar"
+        if dense[i] and (dense[i] >= DENSE or reuse[i] < REUSED) and not other_language:
             found = "data"
-        elif n[i] and literals[i] >= 0.15 and len(text) >= 400 and not other_language and _literal_share(text) >= 0.8:
+        elif reused[i] and names[i] < 0.06 and literals[i] >= 0.3 and not other_language:
             found = "data"
-        elif longest >= 200 and n[i] >= 60 and _squeezed(text, lines):
-            found = "minified"
-        elif n[i] >= 60 and names[i] >= 0.1 and reuse[i] < 2.4:
+        elif max(map(len, lines), default=0) >= 200 and n[i] >= TOKENS and _squeezed(text, lines):
+            found, how = "minified", "layout"
+        elif reused[i] and names[i] >= 0.1:
             found = "generated"
+        elif notice([*head, *tail], path):
+            found, how = "generated", "notice"
+        elif foreign(head, repo, path):
+            found, how = "vendored", "notice"
         why.append(found)
+        by.append(how if found else None)
     phr = [h[cut[i] : cut[i + 1]] for i in range(len(n))]
     wid = [width[cut[i] : cut[i + 1]].astype(np.int32) for i in range(len(n))]
     return pa.RecordBatch.from_pydict({
         "repo": batch.column(0), "file_path": batch.column(1), "why": pa.array(why, pa.string()), "n_tokens": pa.array(n.astype(np.int32)),
         "reuse": pa.array(np.round(reuse, 6)), "rules": pa.array(phr, pa.list_(pa.int64())), "widths": pa.array(wid, pa.list_(pa.int32())),
-        "own": pa.array(own, pa.bool_()),
+        "own": pa.array(own, pa.bool_()), "by": pa.array(by, pa.string()),
     })
 
 
@@ -113,9 +152,8 @@ _LITERALS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\b(?:0x)?[\d
 _WORDS = re.compile(r"[^\W\d]\w*")
 
 
-def _literal_share(text: str) -> float:
-    solid = len(text) - text.count(" ") - text.count("\n") - text.count("\r") - text.count("\t")
-    return sum(map(len, _LITERALS.findall(text))) / max(solid, 1)
+def _solid(text: str) -> int:
+    return len(text) - text.count(" ") - text.count("\n") - text.count("\r") - text.count("\t")
 
 
 def _squeezed(text: str, lines: list[str]) -> bool:
@@ -129,8 +167,9 @@ def _squeezed(text: str, lines: list[str]) -> bool:
 
 
 def provenance(chunks: DataFrame, shared: float = 0.6) -> DataFrame:
-    """(repo, file_path, why, reuse, shared): every code file with what it is: ``generated``, ``minified``,
-    ``data``, ``vendored`` or null for hand-written, whatever the chunks' category says.
+    """(repo, file_path, why, by, reuse, shared): every code file with what it is: ``generated``, ``minified``,
+    ``data``, ``vendored`` or null for hand-written, whatever the chunks' category says, and by which evidence:
+    ``grammar``, ``layout`` or, where those say nothing, ``notice`` (words in comments, names and folders).
 
     ``shared`` is the share of a file's rule tokens that other repositories have too; files at or over the
     parameter are copies unless they bear their own organisation's copyright. Copies within a repository don't
@@ -144,13 +183,16 @@ def provenance(chunks: DataFrame, shared: float = 0.6) -> DataFrame:
             for i in range(0, b.num_rows, 500):
                 yield classify(b.slice(i, 500), symbols)
 
-    schema = "repo string, file_path string, why string, n_tokens int, reuse double, rules array<long>, widths array<int>, own boolean"
+    schema = "repo string, file_path string, why string, n_tokens int, reuse double, rules array<long>, widths array<int>, own boolean, by string"
     seen = scratch.keep(text.mapInArrow(run, schema))
     each = seen.select("repo", "file_path", F.explode(F.arrays_zip("rules", "widths")).alias("r")).select("repo", "file_path", F.col("r.rules").alias("rule"), F.col("r.widths").alias("w"))
     # One row a rule and task leaves the partial aggregate, however many files hold the rule.
     rules = each.groupBy("rule").agg(F.min("repo").alias("a"), F.max("repo").alias("z")).filter("a <> z").select("rule")
-    total = seen.select("repo", "file_path", "why", "reuse", "own", F.aggregate("widths", F.lit(0), lambda s, w: s + w).alias("all"))
+    total = seen.select("repo", "file_path", "why", "by", "reuse", "own", F.aggregate("widths", F.lit(0), lambda s, w: s + w).alias("all"))
     hit = each.join(rules, "rule").groupBy("repo", "file_path").agg(F.sum("w").alias("hit"))
     out = total.join(hit, ["repo", "file_path"], "left").withColumn("shared", F.coalesce(F.col("hit") / F.col("all"), F.lit(0.0)))
     copied = (F.col("shared") >= shared) & ~F.col("own") & (F.col("all") >= 30)
-    return out.select("repo", "file_path", F.when(F.col("why").isNull() & copied, "vendored").otherwise(F.col("why")).alias("why"), "reuse", F.round("shared", 6).alias("shared"))
+    copied = copied & (F.col("why").isNull() | (F.col("by") == "notice"))
+    return out.select(
+        "repo", "file_path", F.when(copied, "vendored").otherwise(F.col("why")).alias("why"), F.when(copied, "grammar").otherwise(F.col("by")).alias("by"), "reuse", F.round("shared", 6).alias("shared")
+    )

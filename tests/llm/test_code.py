@@ -265,3 +265,24 @@ def test_provenance_cases(spark):
         ("p/b", "third_party/z/q.py"): "vendored", ("p/b", "empty.py"): None,
     }
     assert V.provenance(spark.createDataFrame([], CHUNK)).count() == 0
+
+
+def test_comments_around_the_code():
+    head, tail = V.around("#!/bin/x\n# a\n\nimport os\n# b\nx = 1\n# c\ny = 2\n# d\n\n")
+    assert head == ["#!/bin/x", "# a", "# b"] and tail == ["# d"]
+    head, _ = V.around("/*\n one\n two */\npackage a\n\n" + "// n\n" * 40 + "func f() {}\n// z\nvar x = 1\n")
+    assert head[:3] == ["/*", " one", " two */"] and len(head) == 43
+    assert V.around("") == ([], []) and V.around("x\n") == ([], [])
+
+
+def test_what_decides_about_a_file(spark):
+    rng = random.Random(5)
+    blob = "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(900))
+    table = "T = [\n" + "".join(f"    ({rng.randint(0, 9999)}, {rng.randint(0, 9999)}, 'k{i}'),\n" for i in range(60)) + "]\n"
+    words = " ".join(rng.choice("a quick note about the way this works for those who read it later".split()) for _ in range(300))
+    made = "".join(f"def get_{i}(self):\n    return self._data.get({i}, None)\n" for i in range(40))
+    far = "x = 1\n" * 3 + "import a\n" * 3
+    files = {"blob.py": f'X = "{blob}"\n', "table.py": table, "text.py": f'import os\n\nHELP = "{words}"\n\n\ndef show(out, sep):\n    out.write(HELP + sep)\n    return len(HELP)\n', "made.py": made, "late.py": far + "# generated by hand\ny = 2\n"}
+    df = spark.createDataFrame(rows([("r", k, v) for k, v in files.items()]), CHUNK)
+    got = {r["file_path"]: (r["why"], r["by"]) for r in V.provenance(df).collect()}
+    assert got == {"blob.py": ("data", "grammar"), "table.py": ("data", "grammar"), "text.py": (None, None), "made.py": ("generated", "grammar"), "late.py": (None, None)}
