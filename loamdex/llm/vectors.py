@@ -229,7 +229,7 @@ def cells(cent: np.ndarray, weight: np.ndarray, block: float) -> np.ndarray:
     return out
 
 
-def build(vecs: DataFrame, n: int, threshold: float, sample: int = SAMPLE, per_list: int = 80, block: int = 8192) -> Index:
+def build(vecs: DataFrame, n: int, threshold: float, sample: int = SAMPLE, per_list: int = 80, block: int = 16_384) -> Index:
     """Fit an :class:`Index` on at most ``sample`` rows, eight a list, chosen by the hash of rep, so the choice is
     repeatable. The lists grow with n up to LISTS; beyond, lists grow, and cells are single lists cut in blocks."""
     lists = int(np.clip(n // per_list, 1, LISTS))
@@ -242,12 +242,17 @@ def build(vecs: DataFrame, n: int, threshold: float, sample: int = SAMPLE, per_l
     index = fit(rows, lists, threshold)
     x = _unit(rows)
     at = np.concatenate([(x[i : i + 4096] @ index.centroids.T).argmax(axis=1) for i in range(0, len(x), 4096)])
-    index.cell = cells(index.centroids, np.bincount(at, minlength=len(index.centroids)) * (n / len(x)), block)
-    return index
+    return _ordered(index, cells(index.centroids, np.bincount(at, minlength=len(index.centroids)) * (n / len(x)), block))
+
+
+def _ordered(index: Index, cell: np.ndarray) -> Index:
+    """``index`` with its lists in order of their cells, so that what a query probes in a cell is one stretch."""
+    order = np.argsort(cell, kind="stable")
+    return Index(index.centroids[order], index.books, index.eta, cell[order])
 
 
 def _listed(index: Index, unit: np.ndarray, probe_cos: float, probe_least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(own list of each row, rows, lists): what each row probes, sorted by row and cell."""
+    """(own list of each row, rows, lists): what each row probes, in order of row and list, which is that of cells."""
     s = unit @ index.centroids.T
     at = s.argmax(axis=1)
     if index.floor is not None:
@@ -259,14 +264,13 @@ def _listed(index: Index, unit: np.ndarray, probe_cos: float, probe_least: int)
             least = min(probe_least, s.shape[1])
             top = np.argpartition(-s[few], least - 1, axis=1)[:, :least]
             ask[few[:, None], top] = True
-    order = np.argsort(index.cell, kind="stable")
-    r, c = np.nonzero(ask[:, order])
-    return at, r, order[c]
+    r, c = np.divmod(np.flatnonzero(ask.ravel()), ask.shape[1])
+    return at, r, c
 
 
 def search(
     vecs: DataFrame, index: Index, scratch: Scratch, k: int, threshold: float, forest: bool = False, exact: bool = False, probe_cos: float = 0.4, probe_least: int = 20,
-    margin: float = 0.12, block: int = 8192, q_block: int = 32_768,
+    margin: float = 0.12, block: int = 16_384, q_block: int = 32_768,
 ) -> DataFrame:
     """(a, b, cos): for every vid ``a`` its ``k`` most similar other vids with a cosine >= threshold, rounded to
     6 decimals, ties going to the smaller vid.
@@ -281,7 +285,7 @@ def search(
     group of any size comes out whole without its pairs."""
     spark = vecs.sparkSession
     if not len(index.cell):
-        index.cell = cells(index.centroids, np.ones(len(index.centroids)), 64)
+        index = _ordered(index, cells(index.centroids, np.ones(len(index.centroids)), 64))
     if exact:
         index = _bounded(vecs, index, threshold)
         margin = 2.0
