@@ -74,6 +74,17 @@ def route(q: Column, forced: Column | None = None) -> Column:
     return lane if forced is None else F.when(forced.isin("fast", "full"), forced).otherwise(lane)
 
 
+def is_url(spec: Column) -> Column:
+    """Whether a source is fetched, not read in place."""
+    return spec.rlike("^(?:https?://|git@|ssh://|git://)")
+
+
+def repo_name(spec: Column) -> Column:
+    """Last path segment without slashes and ``.git``, then what follows the last colon."""
+    last = F.element_at(F.split(F.regexp_replace(spec, "/+$", ""), "/"), -1)
+    return F.element_at(F.split(F.regexp_replace(last, r"\.git$", ""), ":"), -1)
+
+
 def last_symbol(q: Column) -> Column:
     """The last word without the punctuation around it."""
     return F.regexp_replace(F.element_at(F.split(F.trim(q), r"\s+"), -1), r"^[`.,:;()\[\]{}<>!?\"']+|[`.,:;()\[\]{}<>!?\"']+$", "")

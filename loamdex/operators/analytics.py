@@ -39,6 +39,14 @@ def cluster_samples(members: DataFrame, k: int = 5) -> DataFrame:
     return members.select("cluster_id", "chunk_id", "membership").distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("cluster_id", "chunk_id", "rank")
 
 
+def cluster_rows(members: DataFrame, least: float = 0.1) -> DataFrame:
+    """(cluster_id, size, first_chunk): clusters of members whose membership is over ``least``, with the one of the
+    largest, ties by id; a null membership is noise."""
+    kept = members.filter(F.col("membership") > least).select("chunk_id", "cluster_id", "membership").distinct()
+    one = kept.groupBy("cluster_id").agg(F.count("*").cast("int").alias("size"), F.max(F.struct("membership", (-F.col("chunk_id")).alias("c"))).alias("m"))
+    return one.select("cluster_id", "size", (-F.col("m.c")).alias("first_chunk"))
+
+
 def labels(texts: DataFrame, group: str, text: str, order: Column, samples: int = 5, words: int = 3) -> DataFrame:
     """(group, label): the most common words of four letters or more in up to ``samples`` texts of each group, by
     count, then alphabetically."""

@@ -29,12 +29,17 @@ def clean_digest(c: Column | str) -> Column:
     return F.when(d != "", d)
 
 
+#: Runs that are sent to every task; one takes some 50 bytes.
+RUNS = 200_000
+
+
 def run_of(rows: DataFrame, runs: DataFrame, at: str, bucket_s: int = BUCKET_S) -> DataFrame:
     """Adds ``run_id`` and ``run_status`` of the last run with started_at <= ``at``; rows before every run, or
     with a null time, are left out. Runs must not overlap. Of runs with equal started_at the largest run_id counts.
 
-    Every run is laid over the buckets from its start to the next run's start, and rows join on their bucket,
-    so neither side is broadcast on trust and no pair of rows is compared that isn't in one bucket.
+    Every run is laid over the buckets from its start to the next run's start, and rows join on their bucket, so no
+    pair of rows is compared that isn't in one bucket. Up to RUNS runs are sent to every task after they are
+    counted, so that rows stay where they are however many fall on one day; more are joined by shuffle.
     """
     # The run log is one row a run: the window sorts runs, never rows, within a bucket of 64 weeks.
     starts = runs.filter("started_at is not null").groupBy("started_at").agg(F.max(F.struct("run_id", "status")).alias("r"))
@@ -51,6 +56,8 @@ def run_of(rows: DataFrame, runs: DataFrame, at: str, bucket_s: int = BUCKET_S)
     carried = marks.select("b", F.last("final", ignorenulls=True).over(before).alias("p")).filter("p is not null")
     lines = here.unionByName(carried.select(F.col("p.started_at").alias("started_at"), F.col("p.run_id").alias("run_id"), F.col("p.run_status").alias("run_status"), "b"))
     per_bucket = lines.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("started_at", "run_id", "run_status"))).alias("starts"))
+    if starts.limit(RUNS + 1).count() <= RUNS:
+        per_bucket = F.broadcast(per_bucket)
     hit = F.element_at(F.filter("starts", lambda s: s["started_at"] <= F.col(at)), -1)
     joined = wanted.join(per_bucket.withColumnRenamed("b", "_b"), "_b").filter(F.exists("starts", lambda s: s["started_at"] <= F.col(at)))
     return joined.withColumn("_run", hit).select(*rows.columns, F.col("_run.run_id").alias("run_id"), F.col("_run.run_status").alias("run_status"))

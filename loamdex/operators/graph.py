@@ -58,7 +58,8 @@ def number_nodes(found: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     asks = want.filter("n > 1").select("parent_name", "id", F.lit(None).cast("long").alias("pid"), F.lit(True).alias("ask"))
     last = F.last("pid", ignorenulls=True).over(Window.partitionBy("parent_name").orderBy("id", F.coalesce("ask", F.lit(False)).desc()).rowsBetween(Window.unboundedPreceding, -1))
     twice = asks.unionByName(marks.withColumn("ask", F.lit(False))).withColumn("parent_id", last).filter("ask and parent_id is not null").select("id", "parent_id")
-    return known.join(once.unionByName(twice), "id", "left")
+    parents = once.unionByName(twice).groupBy("id").agg(F.max("parent_id").alias("parent_id"))
+    return known.join(parents, "id", "left")
 
 
 def _places(folder: Column) -> Column:

@@ -265,8 +265,9 @@ def paths(nodes: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Adds ``path`` (array of ids from the root to the node) to the result of :func:`hierarchy`.
 
     Nodes are laid out in tour order; each range partition keeps the stack of open intervals. The stack at
-    its start is the set of intervals that contain its first node, found with one join against the first
-    nodes of all partitions. Nodes on or below circles get a null path."""
+    its start is the set of intervals that contain its first node: only intervals that are open at the end of
+    their own partition can be in it, no more than a tree is deep for each partition. Nodes on or below circles
+    get a null path."""
     spark = nodes.sparkSession
     scratch = Scratch(spark)
     kept = scratch.keep(nodes)
@@ -278,7 +279,9 @@ def paths(nodes: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     cols = laid.columns
     # One row for each range partition: bounded by the number of tasks.
     above = F.broadcast(firsts.select("pid", "root_id", F.col("entry").alias("e0"), F.col("exit").alias("x0")))
-    opened = laid.select("root_id", F.col("id").alias("aid"), F.col("entry").alias("a0"), F.col("exit").alias("a1"))
+    lasts = F.broadcast(laid.groupBy("pid").agg(F.max(F.struct("root_id", "entry")).alias("l")))
+    still = laid.join(lasts, "pid").filter((F.col("root_id") == F.col("l.root_id")) & (F.col("exit") > F.col("l.entry")))
+    opened = still.select("root_id", F.col("id").alias("aid"), F.col("entry").alias("a0"), F.col("exit").alias("a1"))
     stacks = opened.join(above, "root_id").filter("a0 < e0 and a1 > x0").select(F.col("pid").alias("apid"), "aid", "a0", "a1")
 
     def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

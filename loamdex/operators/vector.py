@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +79,49 @@ def stub_embed(texts: DataFrame, key: str, text: str, dim: int = 1536) -> DataFr
 
     kind = dict(texts.dtypes)[key]
     return texts.select(key, text).dropna().mapInPandas(run, f"{key} {kind}, embedding array<float>")
+
+
+#: Centroids that are sent to every task at a time; more are taken in turns of one pass each.
+CENTROIDS = 20_000
+
+
+def nearest_centroid(vectors: DataFrame, centroids_: DataFrame, id_col: str, emb: str = "embedding", cid: str = "cluster_id", centroid: str = "centroid") -> DataFrame:
+    """(id, nearest, dot): for every vector the centroid of largest dot product rounded to 9 decimals, ties going to the
+    smaller id. Vectors stay where they are: centroids come to the tasks in blocks of a fixed number, as one matrix
+    each. Null vectors and centroids, and those of another length than the first centroid, are left out."""
+    spark = vectors.sparkSession
+    kind = dict(vectors.dtypes)[id_col]
+    rows = centroids_.select(F.col(cid).cast("long").alias("c"), F.col(centroid).cast("array<double>").alias("v")).filter("c is not null and v is not null")
+    n = rows.count()
+    schema = f"id {kind}, nearest long, dot double"
+    out = None
+    for k in range(-(-n // CENTROIDS)):
+        held = rows.filter(F.pmod(F.xxhash64("c"), F.lit(-(-n // CENTROIDS))) == k).toArrow()
+        if not held.num_rows:
+            continue
+        c = held.column("c").to_numpy()
+        v = held.column("v").to_pylist()
+        keep = [i for i, x in enumerate(v) if len(x) == len(v[0]) and None not in x]
+        order = np.argsort(c[keep], kind="stable")
+        sent = spark.sparkContext.broadcast((c[keep][order], np.array([v[i] for i in keep])[order]))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            ids, m = sent.value
+            for b in batches:
+                e = b.column("e")
+                ok = np.flatnonzero(e.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == m.shape[1])
+                e = e.take(pa.array(ok))
+                x = np.asarray(e.flatten().fill_null(np.nan)).reshape(-1, m.shape[1])
+                whole = ~np.isnan(x).any(axis=1)
+                ok, x = ok[whole], x[whole]
+                dot_ = np.round(x @ m.T, 9)
+                at = dot_.argmax(axis=1) if len(x) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ok)), pa.array(ids[at]), pa.array(dot_[np.arange(len(at)), at])], names=["id", "nearest", "dot"])
+
+        part = vectors.select(F.col(id_col).alias("id"), F.col(emb).cast("array<double>").alias("e")).mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], schema)
+    if n <= CENTROIDS:
+        return out
+    return out.groupBy("id").agg(F.max(F.struct("dot", (-F.col("nearest")).alias("m"))).alias("b")).select("id", (-F.col("b.m")).alias("nearest"), F.col("b.dot").alias("dot"))

@@ -338,9 +338,8 @@ SELECT vec_id, nearest FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORD
 )
 def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "embeddings")
-    c = F.broadcast(vector.centroids(e, "label").select(F.col("label").alias("nearest"), "centroid"))  # one row a cluster
-    s = e.crossJoin(c).select("vec_id", "nearest", F.round(vector.dot("embedding", "centroid"), 9).alias("dot"))
-    return s.groupBy("vec_id").agg(F.max(F.struct("dot", (-F.col("nearest")).alias("n"))).alias("m")).select("vec_id", (-F.col("m.n")).alias("nearest"))
+    near = vector.nearest_centroid(e, vector.centroids(e, "label"), "vec_id", cid="label")
+    return near.select(F.col("id").alias("vec_id"), F.col("nearest").cast("int").alias("nearest"))
 
 
 @query()
@@ -400,12 +399,23 @@ def delta_plan(spark: SparkSession, d: str) -> DataFrame:
     return incremental.delta(_newest(_t(spark, d, "merkle_files"), "last_indexed_at"), after, ["repo", "file_path"])
 
 
+@query(
+    f"""WITH {_NEWEST}, p AS (SELECT repo || '/' || file_path AS p, max(sha) AS sha FROM b1 WHERE sha IS NOT NULL GROUP BY 1) SELECT sha256(string_agg(p || chr(0) || sha || chr(0), '' ORDER BY p)) AS root FROM p"""
+)
+def merkle_root(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.merkle_root(_merkle(spark, d))
+
+
+def _merkle(spark: SparkSession, d: str) -> DataFrame:
+    return _newest(_t(spark, d, "merkle_files"), "last_indexed_at").filter("repo is not null").select(F.concat_ws("/", "repo", "file_path").alias("file_path"), "blob_sha")
+
+
 @query(
     f"""WITH {_NEWEST}, g AS (SELECT substr(sha256(p), 1, 2) AS g, sha256(string_agg(DISTINCT p || chr(0) || sha || chr(0), '' ORDER BY p || chr(0) || sha || chr(0))) AS d
 FROM (SELECT repo || '/' || file_path AS p, sha FROM b1 WHERE sha IS NOT NULL) GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY g)) AS root FROM g"""
 )
-def merkle_root(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.merkle_root(_newest(_t(spark, d, "merkle_files"), "last_indexed_at").select(F.concat_ws("/", "repo", "file_path").alias("file_path"), "blob_sha"))
+def merkle_fold(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.merkle_fold(_merkle(spark, d))
 
 
 @query(
@@ -497,12 +507,6 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return analytics.retrieval_metrics(want, ranked)
 
 
-@query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events WHERE contains(props, '\"k\"') AND CAST(props->>'$.k' AS BIGINT) BETWEEN 40 AND 60")
-def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
-    e = _t(spark, d, "events").filter(F.contains("props", F.lit('"k"')))
-    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).filter("k between 40 and 60")
-
-
 @query()
 def stub_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return vector.stub_embed(_t(spark, d, "chunks").select("content_hash", "content").distinct(), "content_hash", "content", 64)

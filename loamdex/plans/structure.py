@@ -154,7 +154,15 @@ def chunk_files(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_files(files(spark, d))
 
 
-@query()
+# Lines are packed one after the other in all documents at once: a line opens a window if the one before it would
+# pass 1,500 bytes with it.
+@query(
+    """WITH RECURSIVE d AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents WHERE text <> ''),
+x AS (SELECT doc_id, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l FROM d), s AS (SELECT doc_id, l, list_transform(l, lambda v: CAST(octet_length(encode(v)) AS BIGINT)) AS b FROM x),
+w AS (SELECT doc_id, 1 AS n, 1 AS first, 0::BIGINT AS lo, b[1] AS hi, l, b FROM s UNION ALL
+  SELECT doc_id, n + 1, CASE WHEN hi + b[n + 1] - lo > 1500 THEN n + 1 ELSE first END, CASE WHEN hi + b[n + 1] - lo > 1500 THEN hi ELSE lo END, hi + b[n + 1], l, b FROM w WHERE n < len(l))
+SELECT CAST(doc_id AS VARCHAR) AS path, CAST(first AS INT) AS start_line, CAST(max(n) AS INT) AS end_line, lo AS start_byte, max(hi) AS end_byte, sha256(array_to_string(any_value(l)[first:max(n)], '')) AS content_hash FROM w GROUP BY doc_id, first, lo"""
+)
 def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
     return chunking.chunk_files(docs).select("path", "start_line", "end_line", "start_byte", "end_byte", "content_hash")

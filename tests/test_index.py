@@ -189,3 +189,52 @@ def test_scratch_tables_live_in_the_shared_folder(spark):
     assert t.count() == 2
     s.close()
     assert not s.paths
+
+
+def test_nearest_centroid_and_merkle_edges(spark, monkeypatch):
+    import hashlib
+
+    from loamdex.operators import incremental, vector
+
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0]), (5, [1.0, None]), (6, [0.5, 0.5])], "id long, e array<double>")
+    c = spark.createDataFrame([(9, [1.0, 0.0]), (7, [0.0, 1.0]), (8, None), (5, [2.0])], "c long, m array<double>")
+    want = {(1, 9), (2, 7), (6, 7)}
+    assert {(r.id, r.nearest) for r in vector.nearest_centroid(v, c.filter("c <> 5"), "id", "e", "c", "m").collect()} == want
+    monkeypatch.setattr(vector, "CENTROIDS", 1)
+    assert {(r.id, r.nearest) for r in vector.nearest_centroid(v, c.filter("c in (7, 9)"), "id", "e", "c", "m").collect()} == want
+    assert vector.nearest_centroid(v, c.limit(0), "id", "e", "c", "m").count() == 0
+    f = spark.createDataFrame([("b", "2"), ("a", "1"), ("b", "2"), (None, "3"), ("c", None)], "file_path string, blob_sha string")
+    assert incremental.merkle_root(f).first()[0] == hashlib.sha256(b"a\x001\x00b\x002\x00").hexdigest()
+    assert incremental.merkle_root(f.limit(0)).first()[0] == hashlib.sha256(b"").hexdigest()
+    assert len(incremental.merkle_fold(f).first()[0]) == 64
+
+
+def test_update_policy_and_update(spark):
+    from loamdex.operators import incremental as I
+
+    delta = lambda *s: spark.createDataFrame([(f"f{i}", x) for i, x in enumerate(s)], "f string, status string")
+    e = {"model": "m", "dim": 4, "quant": "int8"}
+    ok = {**e, "clusters_current": True}
+    assert I.update_policy(None, e, None)[0] == "full" and I.update_policy(ok, e, delta("unchanged"), 3)[0] == "full"
+    assert I.update_policy(ok, {**e, "dim": 5}, None)[0] == "abort" and I.update_policy(ok, {**e, "model": "n"}, None)[0] == "full"
+    assert I.update_policy(ok, e, delta("unchanged"))[0] == "none" and I.update_policy(e, e, delta("unchanged"))[0] == "update" and I.update_policy(ok, e, delta("removed"))[0] == "update"
+    old = spark.createDataFrame([(1, "f0", 0), (2, "f1", 0), (3, "f1", 9), (7, "f2", 0), (8, "f3", 0)], "id long, f string, start_byte long")
+    new = spark.createDataFrame([(None, "f1", 0), (None, "f1", 5), (None, "f4", 0), (None, "f3", 1), (None, "f0", 3)], "id long, f string, start_byte long")
+    got = {tuple(r) for r in I.apply_update(old, new, delta("unchanged", "modified", "removed", "modified", "added"), ["f"], spark.createDataFrame([("f3",)], "f string")).collect()}
+    assert got == {(1, "f0", 0), (8, "f3", 0), (9, "f1", 0), (10, "f1", 5), (11, "f4", 0)}
+
+
+def test_one_tree_and_one_day(spark):
+    from loamdex.operators import changes, hierarchy
+
+    # A chain of 60 with 20 leaves at each node in one tree; partitions of a few rows.
+    rows = [(i, i - 1 if i else None) for i in range(60)] + [(100 + 20 * i + j, i) for i in range(60) for j in range(20)]
+    h = hierarchy.hierarchy(spark.createDataFrame(rows, "id long, parent_id long"))
+    want = {i: list(range(i + 1)) for i in range(60)} | {100 + 20 * i + j: [*range(i + 1), 100 + 20 * i + j] for i in range(60) for j in range(20)}
+    assert {r.id: r.path for r in hierarchy.paths(h, rows_per_task=50).collect()} == want
+    runs = spark.createDataFrame([(1, 100, "failed"), (2, 200, "succeeded"), (3, 90_000, "succeeded")], "run_id long, started_at long, status string")
+    log = spark.createDataFrame([(i, 150 + i % 100) for i in range(1000)] + [(2000, 50), (2001, None), (2002, 10**9)], "id long, t long")
+    plan = changes.run_of(log, runs, "t")
+    got = {r.id: r.run_id for r in plan.collect()}
+    assert got == {i: 1 if 150 + i % 100 < 200 else 2 for i in range(1000)} | {2002: 3}
+    assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
