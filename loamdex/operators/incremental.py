@@ -107,7 +107,7 @@ def apply_update(old_chunks: DataFrame, new_chunks: DataFrame, delta_: DataFrame
     todo = delta_.filter("status <> 'unchanged'").select(*keys, "status")
     if failed is not None:
         todo = todo.join(failed.select(*keys).distinct(), keys, "left_anti")
-    kept = old_chunks.join(todo.select(*keys), keys, "left_anti")
+    kept = old_chunks.join(todo.select(*keys), keys, "left_anti").select(*old_chunks.columns)
     fresh = new_chunks.join(todo.filter("status <> 'removed'").select(*keys), keys, "left_semi")
     top = old_chunks.agg(F.max("id")).first()[0] or 0
     order = [*keys, "start_byte"]
