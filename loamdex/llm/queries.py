@@ -69,6 +69,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[1]
 
 
+def p9_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """Shares by temperature: source token shares raised to the exponent whose weights have an entropy of 2.2 nats."""
+    return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"), entropy=2.2)[1]
+
+
+def p9_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Shares at a budget of all tokens, over what the targets allow: tilted by the smallest exponent that keeps the caps."""
+    docs = _t(spark, d, "documents")
+    total = mixing.with_tokens(docs.filter("doc_id is not null")).agg(F.sum("n_tokens")).first()[0] or 0  # one number
+    return mixing.mix(docs, _t(spark, d, "mix_targets"), budget=float(total))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -82,7 +94,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam(_t(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_members, p1_clusters, p2_found, p2_files, p2_rates, p3_found, p3_files, p5_found, p5_pieces, p6_found, p6_nearest, p8_found, p8_items, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_members, p1_clusters, p2_found, p2_files, p2_rates, p3_found, p3_files, p5_found, p5_pieces, p6_found, p6_nearest, p8_found, p8_items, p9_mix, p9_shares, p9_entropy, p9_budget, p10_found)}
 
 _CURRENT = """
 WITH m AS (SELECT content_hash, arg_max(embedding, created_at) AS e FROM embedding_cache WHERE model_id = 'quillcode-embed-2' AND content_hash IS NOT NULL GROUP BY content_hash),

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -68,7 +70,7 @@ def test_nearest_blocks_give_the_same(spark):
 
 
 def test_recall_over_the_test_table(spark):
-    cache = spark.read.parquet("/root/testdata/sf0.001/embedding_cache.parquet")
+    cache = spark.read.parquet(os.environ.get("LOAMDEX_TESTDATA", "/root/testdata") + "/sf0.001/embedding_cache.parquet")
     got = {tuple(sorted(r[:2])) for r in V.nearest(cache).collect()}
     rows = V.current_vectors(cache).collect()
     h, s = [r[0] for r in rows], cosines([r[1] for r in rows])
