@@ -269,7 +269,7 @@ def _listed(index: Index, unit: np.ndarray, probe_cos: float, probe_least: int)
 
 
 def search(
-    vecs: DataFrame, index: Index, scratch: Scratch, k: int, threshold: float, forest: bool = False, exact: bool = False, probe_cos: float = 0.4, probe_least: int = 20,
+    vecs: DataFrame, index: Index, scratch: Scratch, k: int, threshold: float, forest: bool = False, exact: bool = False, probe_cos: float = 0.4, probe_least: int = 48,
     margin: float = 0.12, block: int = 16_384, q_block: int = 32_768,
 ) -> DataFrame:
     """(a, b, cos): for every vid ``a`` its ``k`` most similar other vids with a cosine >= threshold, rounded to
