@@ -509,7 +509,7 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def stub_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    return vector.stub_embed(_t(spark, d, "chunks").select("content_hash", "content").distinct(), "content_hash", "content", 64)
+    return vector.stub_embed(_t(spark, d, "chunks").select("content_hash", "content").distinct(), "content_hash", "content")
 
 
 @query(
