@@ -18,7 +18,8 @@ import bisect
 import json
 import re
 import re._parser as sre
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -474,48 +475,69 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 _PAIRS = {")": "(", "]": "[", "}": "{", "⟩": "⟨"}
-#: Unmatched brackets that the exact chart takes; the cost of more of them, in no order, is that of a greedy repair.
-CHART = 400
+#: Bytes of a chart that are kept in memory; a larger one lies in a file, which changes nothing else.
+IN_MEMORY = 1 << 29
+
+
+def unmatched(brackets: Iterable[tuple[str, int]]) -> list[tuple[str, int]]:
+    """What is left of (bracket, place) when neighbours that match are taken away until there are none, which leaves the
+    fewest edits as they are. One that matches nothing stands between those around it: of ``[{]}`` all four are left."""
+    out: list[tuple[str, int]] = []
+    for c, at in brackets:
+        if out and _PAIRS.get(c) == out[-1][0]:
+            out.pop()
+        else:
+            out.append((c, at))
+    return out
 
 
 def bracket_edits(s: str) -> list[int]:
     """Positions in a string of brackets, of which no two neighbours match, of the fewest edits that balance it.
 
     Where all closing ones come before all opening ones, two of a kind of side are repaired by one edit. Else a chart
-    over spans decides."""
+    over spans decides, whatever the length: a row holds the costs of all spans from one place on, and a pair is tried
+    with all that can follow it only if it costs less than what was found for its own span."""
     n = len(s)
     shut = next((i for i, c in enumerate(s) if c not in _PAIRS), n)
     if all(c not in _PAIRS for c in s[shut:]):
         return [*range(0, shut, 2), *range(shut, n, 2)]
-    if n > CHART:
-        return list(range(0, n, 2))
-    best = np.zeros((n + 1, n + 1), dtype=np.int64)
-    cut = np.full((n + 1, n + 1), -1)
-    opens = np.array([c not in _PAIRS for c in s])
-    fit = np.where(opens[:, None] & ~opens[None], np.array([[int(_PAIRS.get(b) != a) for b in s] for a in s]), np.where(opens[:, None] == opens[None], 1, 2))
+    size = np.dtype(np.uint16 if n < 65_000 else np.uint32)
+    # For each bracket what it costs to pair it with the one at each place behind it.
+    fit = {a: np.array([int(_PAIRS.get(b) != a) if a not in _PAIRS or b in _PAIRS else 2 for b in s], dtype=size) for a in set(s)}
+    if (n + 1) ** 2 * size.itemsize > IN_MEMORY:
+        best = np.asarray(np.memmap(tempfile.TemporaryFile(), dtype=size, mode="w+", shape=(n + 1, n + 1)))
+    else:
+        best = np.empty((n + 1, n + 1), dtype=size)
+    best[n, n] = 0
     for i in range(n - 1, -1, -1):
-        for j in range(i + 1, n + 1):
-            v, at = best[i + 1, j] + 1, -1
-            if j - i > 1:
-                k = np.arange(i + 1, j)
-                w = fit[i, k] + best[i + 1, k] + best[k + 1, j]
-                m = int(w.argmin())
-                if w[m] <= v:
-                    v, at = w[m], int(k[m])
-            best[i, j], cut[i, j] = v, at
+        row, inner = best[i], best[i + 1]
+        row[i] = 0
+        np.add(inner[i + 1 :], 1, out=row[i + 1 :])
+        pair = fit[s[i]][i + 1 :] + inner[i + 1 : -1]
+        k = i + 1
+        while k < n:
+            less = pair[k - i - 1 :] < row[k + 1 :]
+            m = int(less.argmax())
+            if not less[m]:
+                break
+            k += m + 1
+            np.minimum(row[k:], best[k, k:] + pair[k - i - 2], out=row[k:])
     out: list[int] = []
     todo = [(0, n)]
     while todo:
         i, j = todo.pop()
         if i >= j:
             continue
-        k = cut[i, j]
-        if k < 0:
+        w = fit[s[i]][i + 1 : j] + best[i + 1, i + 1 : j] + best[i + 2 : j + 1, j]
+        m = int(w.argmin()) if len(w) else -1
+        if m < 0 or w[m] > best[i + 1, j] + 1:
             out.append(i)
             todo.append((i + 1, j))
         else:
-            if fit[i, k]:
-                out += [k] if fit[i, k] == 1 else [i, k]
+            k = i + 1 + m
+            cost = fit[s[i]][k]
+            if cost:
+                out += [k] if cost == 1 else [i, k]
             todo += [(i + 1, k), (k + 1, j)]
     return sorted(out)
 
@@ -595,7 +617,7 @@ class Parser:
             s = s.replace("X", "i")
         # A frame: its bracket, where that stands, its pieces and where they come from.
         stack: list[tuple[str, int, list[str], list[int]]] = [("", -1, [], [])]
-        lost: list[tuple[str, int]] = []
+        lost = False
         last = 0
         for m in self.brackets.finditer(s):
             at, c = m.start(), m[0]
@@ -610,17 +632,15 @@ class Parser:
                 stack.pop()
                 self._close(top, c, stack[-1], edits)
             else:
-                lost.append((c, at))
+                lost = True
         if last < len(s):
             stack[-1][2].append(s[last:])
             stack[-1][3].append(last)
-        broken = sorted([*lost, *((f[0], f[1]) for f in stack[1:])], key=lambda x: x[1])
-        if broken:
-            line = "".join(c for c, _ in broken)
-            wrong = bracket_edits(line)
+        if lost or len(stack) > 1:
+            broken = unmatched((m[0], m.start()) for m in self.brackets.finditer(s))
+            wrong = bracket_edits("".join(c for c, _ in broken))
             # Groups that nothing closes are closed at the end of the text, and what they hold is parsed as it is.
-            open_only = not lost
-            edits += [len(s) if open_only else broken[i][1] for i in wrong]
+            edits += [broken[i][1] if lost else len(s) for i in wrong]
             while len(stack) > 1:
                 top = stack.pop()
                 self._close(top, {v: k for k, v in _PAIRS.items()}[top[0]], stack[-1], edits)

@@ -105,6 +105,45 @@ def test_bracket_repairs_equal_brute_force():
     assert len(S.bracket_edits("(" * 9001)) == 4501 and len(S.bracket_edits(")" * 3 + "[" * 4)) == 4
 
 
+def least(s):
+    """The cost of balancing ``s``, by trying every partner of every bracket."""
+    n = len(s)
+    cost = np.zeros((n + 2, n + 2), dtype=int)
+    fit = np.array([[2 if a in S._PAIRS and b not in S._PAIRS else int(S._PAIRS.get(b) != a) for b in s] for a in s])
+    for i in range(n - 1, -1, -1):
+        for j in range(i + 1, n + 1):
+            cost[i, j] = min(cost[i + 1, j] + 1, (fit[i, i + 1 : j] + cost[i + 1, i + 1 : j] + cost[i + 2 : j + 1, j]).min(initial=j - i))
+    return int(cost[0, n])
+
+
+def test_bracket_repairs_are_least_at_any_length(monkeypatch):
+    rng = random.Random(4)
+    lines = [residue("".join(rng.choice("()[]{}") for _ in range(n))) for n in (150, 700)] + ["[{]}" * k for k in (1, 100, 101)] + ["(" * 220 + "[" + ")" * 220]
+    assert sum(len(x) > 400 for x in lines) == 3
+    for x in lines:
+        at = S.bracket_edits(x)
+        assert len(at) == least(x) and at == sorted(at) and all(0 <= i < len(x) for i in at), x
+    want = [S.bracket_edits(x) for x in lines]
+    monkeypatch.setattr(S, "IN_MEMORY", 0)
+    assert [S.bracket_edits(x) for x in lines] == want
+    assert len(S.bracket_edits("(" * 2000 + "[" + ")" * 2000)) == 1
+
+
+def test_crossing_brackets_are_errors():
+    for n in range(1, 300, 7):
+        w = "".join(random.Random(n).choice("()[]{}") for _ in range(n))
+        left = "".join(c for c, _ in S.unmatched((c, i) for i, c in enumerate(w)))
+        assert left == residue(w) and len(S.bracket_edits(left)) == (least(w) if n < 100 else least(left))
+    for k in (1, 3, 90, 250):  # the groups, each closed by what comes later or at the end, hold nothing wrong
+        text = "[" + ", ".join(["[{]}"] * k) + "]"
+        left = residue("".join(c for c in text if c not in ", "))
+        assert S.check(text, "json")[0] == least(left) > 0, k
+    # A stray bracket and one that is missing cost one edit among any number of groups.
+    for k in (3, 300):
+        assert S.check("[" * k + "}" + "]" * k, "json")[0] == 1
+        assert S.check("[" * k + "1" + "]" * k + "]", "json")[0] == 1
+
+
 # Valid pieces of each language that a grammar gets wrong easily, and damaged ones.
 VALID = {
     "js": [
