@@ -119,3 +119,14 @@ def test_files_without_outline(spark):
 def test_what_a_file_names_is_its_own_if_there_is_one():
     _, edges, _ = code.symbols("m.py", "def a():\n    pass\ndef b():\n    a()\n    c()\n")
     assert {(x, y) for x, y, k, *_ in edges if k == "calls"} == {("m.py::b", "m.py::a"), ("m.py::b", "c")}
+
+
+def test_rows_leave_a_task_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(code, "ROWS", 7)
+    # One batch of 50 files: no piece holds all their rows, and none is lost.
+    batch = pa.RecordBatch.from_pydict({"p": [f"{i}/{p}" for i in range(5) for p in SOURCES], "t": [*SOURCES.values()] * 5})
+    got = list(code.parsed(iter([batch]), [code.symbols, code.flow]))
+    want = 5 * sum(len(x) for f in (code.symbols, code.flow) for p, t in SOURCES.items() for x in f(p, t)[:2])
+    assert {b.num_rows for b in got[:-1]} == {7} and sum(b.num_rows for b in got) == want
